@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..session import read_table
-from . import leakage
+from ..session import read_table, stage_table
+from . import leakage, naturalness, repetition
 
 
 def p4_passages(spark: SparkSession, d: str) -> DataFrame:
@@ -24,5 +24,39 @@ def p4_items(spark: SparkSession, d: str) -> DataFrame:
     return p4_passages(spark, d).groupBy("item_id").agg(F.count("*").alias("n_records"), F.sum("n_windows").alias("n_windows"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p4_found, p4_items)}
+def _repetition(spark: SparkSession, d: str) -> tuple[DataFrame, list[repetition.Cutoff]]:
+    stats = stage_table(repetition.repetition_stats(read_table(spark, d, "general_purpose_prepare")), "repetition")
+    return stats, repetition.choose_cutoffs(stats, read_table(spark, d, "quality_labels"))
+
+
+def p2_flagged(spark: SparkSession, d: str) -> DataFrame:
+    """Every record's shares and whether one reaches its stratum's cutoff."""
+    return repetition.flag_repetition(*_repetition(spark, d))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Flagged records that the definition confirms; no cutoff exceeds the definition's share."""
+    return p2_flagged(spark, d).where(F.col("flagged") & repetition.is_case()).select("rec_id")
+
+
+def p2_cutoffs(spark: SparkSession, d: str) -> DataFrame:
+    cutoffs = _repetition(spark, d)[1]
+    return spark.createDataFrame(cutoffs, "stratum string, measure string, cutoff double, n_good int, n_rejected int, upper double, certified boolean")
+
+
+def p3_stats(spark: SparkSession, d: str) -> DataFrame:
+    return naturalness.quality_stats(read_table(spark, d, "general_purpose_prepare"))
+
+
+def p3_kinds(spark: SparkSession, d: str) -> DataFrame:
+    return naturalness.classify(read_table(spark, d, "general_purpose_prepare"), read_table(spark, d, "quality_labels"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Records the mixture doesn't rule out as not prose, with more than half of their text outside running prose."""
+    kinds = p3_kinds(spark, d)
+    return kinds.where((F.col("n_chars") >= naturalness.MIN_CHARS) & (F.col("nonprose_odds") >= 0.02) & (F.col("nonprose_share") > 0.5)).select("rec_id")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_flagged, p2_cutoffs, p3_found, p3_stats, p3_kinds, p4_found, p4_items)}
 SQL: dict[str, str] = {}
