@@ -92,7 +92,7 @@ def spread(df: DataFrame) -> DataFrame:
 
 def on_disk_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of `df`."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
