@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import read_table, stage_table
-from . import leakage, naturalness, repetition
+from . import leakage, naturalness, neardup, repetition
 
 
 def p4_passages(spark: SparkSession, d: str) -> DataFrame:
@@ -24,6 +24,14 @@ def p4_items(spark: SparkSession, d: str) -> DataFrame:
     return p4_passages(spark, d).groupBy("item_id").agg(F.count("*").alias("n_records"), F.sum("n_windows").alias("n_windows"))
 
 
+def p1_classes(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.near_duplicate_classes(read_table(spark, d, "general_purpose_prepare"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.pairs_of_classes(p1_classes(spark, d))
+
+
 def _repetition(spark: SparkSession, d: str) -> tuple[DataFrame, list[repetition.Cutoff]]:
     stats = stage_table(repetition.repetition_stats(read_table(spark, d, "general_purpose_prepare")), "repetition")
     return stats, repetition.choose_cutoffs(stats, read_table(spark, d, "quality_labels"))
@@ -58,5 +66,5 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return kinds.where((F.col("n_chars") >= naturalness.MIN_CHARS) & (F.col("nonprose_odds") >= 0.02) & (F.col("nonprose_share") > 0.5)).select("rec_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_flagged, p2_cutoffs, p3_found, p3_stats, p3_kinds, p4_found, p4_items)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_flagged, p2_cutoffs, p3_found, p3_stats, p3_kinds, p4_found, p4_items)}
 SQL: dict[str, str] = {}
