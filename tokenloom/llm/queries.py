@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import read_table, stage_table
-from . import leakage, naturalness, neardup, repetition, sharedspans, tokenization
+from . import leakage, naturalness, neardup, packing, repetition, sharedspans, tokenization
 
 
 def p4_passages(spark: SparkSession, d: str) -> DataFrame:
@@ -70,6 +70,14 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenization.encode(read_table(spark, d, "documents"))
 
 
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(tokenization.token_counts(read_table(spark, d, "documents")))
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packing_report(p7_containers(spark, d))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return sharedspans.shared_spans(read_table(spark, d, "documents")).drop("n_chars")
 
@@ -78,5 +86,5 @@ def p8_coverage(spark: SparkSession, d: str) -> DataFrame:
     return sharedspans.shared_coverage(read_table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_flagged, p2_cutoffs, p3_found, p3_stats, p3_kinds, p4_found, p4_items, p6_ids, p8_found, p8_coverage)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_flagged, p2_cutoffs, p3_found, p3_stats, p3_kinds, p4_found, p4_items, p6_ids, p7_containers, p7_report, p8_found, p8_coverage)}
 SQL: dict[str, str] = {}
