@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import read_table, stage_table
-from . import leakage, naturalness, neardup, packing, repetition, sharedspans, tokenization
+from . import crosssplit, leakage, naturalness, neardup, packing, repetition, sharedspans, tokenization
 
 
 def p4_passages(spark: SparkSession, d: str) -> DataFrame:
@@ -66,6 +66,19 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return kinds.where((F.col("n_chars") >= naturalness.MIN_CHARS) & (F.col("nonprose_odds") >= 0.02) & (F.col("nonprose_share") > 0.5)).select("rec_id")
 
 
+def p5_overlaps(spark: SparkSession, d: str) -> DataFrame:
+    return crosssplit.cross_split_overlaps(read_table(spark, d, "owt_prepare"), read_table(spark, d, "token_vocab"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = p5_overlaps(spark, d)
+    return pairs.select(F.least("train_id", "eval_id").alias("web_a"), F.greatest("train_id", "eval_id").alias("web_b"))
+
+
+def p5_report(spark: SparkSession, d: str) -> DataFrame:
+    return crosssplit.overlap_report(p5_overlaps(spark, d), read_table(spark, d, "owt_prepare"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenization.encode(read_table(spark, d, "documents"))
 
@@ -86,5 +99,5 @@ def p8_coverage(spark: SparkSession, d: str) -> DataFrame:
     return sharedspans.shared_coverage(read_table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_flagged, p2_cutoffs, p3_found, p3_stats, p3_kinds, p4_found, p4_items, p6_ids, p7_containers, p7_report, p8_found, p8_coverage)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_flagged, p2_cutoffs, p3_found, p3_stats, p3_kinds, p4_found, p4_items, p5_found, p5_overlaps, p5_report, p6_ids, p7_containers, p7_report, p8_found, p8_coverage)}
 SQL: dict[str, str] = {}
