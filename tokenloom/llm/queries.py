@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import read_table, stage_table
 from . import crosssplit, leakage, naturalness, neardup, packing, repetition, sharedspans, tokenization
+from .sql import SQL as SQL
 
 
 def p4_passages(spark: SparkSession, d: str) -> DataFrame:
@@ -100,4 +101,3 @@ def p8_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_flagged, p2_cutoffs, p3_found, p3_stats, p3_kinds, p4_found, p4_items, p5_found, p5_overlaps, p5_report, p6_ids, p7_containers, p7_report, p8_found, p8_coverage)}
-SQL: dict[str, str] = {}
