@@ -42,15 +42,14 @@ def pack_blocks(placed: DataFrame, block: int = BLOCK) -> DataFrame:
 def full_batches(blocks: DataFrame, block: int = BLOCK, batch: int = BATCH, full_coverage: bool = False) -> DataFrame:
     """`blocks` with `batch_id`, without the last incomplete batch unless `full_coverage`.
 
-    If there is no full batch the result raises when it is computed, naming the tokens needed.
+    Raises ValueError if there is no full batch, naming the tokens needed. The blocks are counted
+    at once, so write them first if they are costly to make.
     """
-    n = F.broadcast(blocks.agg(F.count("*").alias("n_blocks")))  # one row, also for no blocks
-    need = f"data too small: need at least {block * batch + 1} tokens"
-    enough = F.when(F.col("n_blocks") < batch, F.raise_error(F.lit(need)).cast("long")).otherwise(F.floor(F.col("n_blocks") / batch) * batch)
-    # outer, so that a stream without any block raises too
-    out = n.join(blocks, F.lit(True), "left").withColumn("limit", F.lit(1 << 60) if full_coverage else enough)
-    kept = out.where(F.col("block_id") < F.col("limit"))
-    return kept.select(*blocks.columns, F.floor(F.col("block_id") / batch).alias("batch_id"))
+    n = blocks.count()
+    if n < batch:
+        raise ValueError(f"data too small: need at least {block * batch + 1} tokens")
+    limit = n if full_coverage else n // batch * batch
+    return blocks.where(F.col("block_id") < limit).select(*blocks.columns, F.floor(F.col("block_id") / batch).alias("batch_id"))
 
 
 def sample_starts(spark, steps: int, batch: int, n_tokens: int, block: int = BLOCK, seed: int = 1337, rank: int = 0) -> DataFrame:
