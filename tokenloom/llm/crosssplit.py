@@ -135,7 +135,10 @@ def _evaluation(pieces: Broadcast | None):
 
 def _scan(shard: Broadcast, pieces: Broadcast | None, threshold: float):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, index = _automaton(shard.value).iter, shard.value
+        index = shard.value
+        if not len(index.keys):  # nothing to look for
+            return
+        find = _automaton(index).iter
         for batch in batches:
             column = fill_content(batch.column("text"), batch.column("ids"), pieces.value) if pieces else batch.column("text")
             keys = batch.column("web_id").to_pylist()

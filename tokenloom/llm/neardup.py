@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.spans import U64, Texts, bounds, distinct_per_row, mix64, shingles, slices, texts_of, words
 from ..operators.graph import connected_components
-from ..session import on_disk_bytes, shuffle_width, spread, stage_table
+from ..session import shuffle_width, spread, stage_table
 
 RUN = 3
 MIN_WORDS = 20
@@ -256,7 +256,7 @@ def near_duplicate_classes(records: DataFrame, threshold: float = 0.5) -> DataFr
     rows = spread(records.select(F.col("rec_id").cast("long").alias("rec_id"), "text").where("rec_id is not null and text is not null"))
     texts = rows.select("text")
     # 105 variants of about 9 bytes for each text; a partition of them should stay near 64 MB
-    targets = max(shuffle_width(spark), on_disk_bytes(texts) // 800 * 105 * 9 // (64 << 20))
+    targets = max(shuffle_width(spark), records.count() * TABLES * len(_SUBSETS) * 9 // (64 << 20))
     variants = texts.mapInArrow(_emit_variants(targets), "target int, blob binary")
     found = variants.repartitionById(targets, F.col("target")).select("blob").mapInArrow(_collide, "kind byte, x long, y long")
     found = stage_table(found, "candidates")
