@@ -73,7 +73,7 @@ def create_scorer(name: str, *args, **kwargs) -> Scorer:
 
 
 def score_blocks(blocks: DataFrame, scorer: Scorer, batch: int = 8) -> DataFrame:
-    """(block_id, nll, n_targets): summed over a block's targets other than -1."""
+    """(block_id, nll, n_targets): summed over a block's targets other than -1. Blocks have one length."""
     shared = blocks.sparkSession.sparkContext.broadcast(scorer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,7 +81,7 @@ def score_blocks(blocks: DataFrame, scorer: Scorer, batch: int = 8) -> DataFrame
             nll, n = [], []
             for k in range(0, rows.num_rows, batch):
                 part = rows.slice(k, batch)
-                x, y = np.array(part.column("x").to_pylist()), np.array(part.column("y").to_pylist())
+                x, y = (part.column(c).flatten().to_numpy().reshape(part.num_rows, -1) for c in "xy")
                 counted = y != IGNORED
                 nll += (shared.value.score(x, y) * counted).sum(1).tolist()
                 n += counted.sum(1).tolist()

@@ -24,10 +24,17 @@ def char_vocabulary(rows: DataFrame, text: str = "text") -> DataFrame:
     return there.select("ch", (F.row_number().over(Window.orderBy("ch")) - 1).alias("id"))
 
 
-def _tables(vocab: DataFrame) -> DataFrame:
-    """One row: `codes` gives code point -> id, `chars` gives id -> character."""
-    rows = vocab.agg(F.map_from_entries(F.collect_list(F.struct(F.ascii("ch").alias("c"), "id"))).alias("m"), F.max(F.ascii("ch")).alias("top"), F.transform(F.array_sort(F.collect_list(F.struct("id", "ch"))), lambda x: x["ch"]).alias("chars"))
-    return rows.select(F.transform(F.sequence(F.lit(0), F.coalesce("top", F.lit(0))), lambda i: F.col("m")[i]).alias("codes"), "chars")
+def dense_array(rows: DataFrame, index: str, value: str, name: str) -> DataFrame:
+    """One row: an array with `value` at each `index` from 0 to the largest, null where there is none."""
+    spark = rows.sparkSession
+    top = rows.agg(F.max(index)).first()[0]
+    every = spark.range(0, (top if top is not None else -1) + 1, 1, 1).select(F.col("id").alias("i"))
+    filled = every.join(rows.select(F.col(index).cast("long").alias("i"), F.col(value).alias("v")), "i", "left")
+    return filled.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias(name))
+
+
+def _codes(vocab: DataFrame) -> DataFrame:
+    return dense_array(vocab.select(F.ascii("ch").alias("c"), F.col("id").cast("int").alias("id")), "c", "id", "codes")
 
 
 def char_encode(rows: DataFrame, vocab: DataFrame, text: str = "text", strict: bool = True) -> DataFrame:
@@ -35,14 +42,14 @@ def char_encode(rows: DataFrame, vocab: DataFrame, text: str = "text", strict: b
     null and empty ones the empty list. The vocabulary, one bounded row, is sent to all tasks."""
     code = lambda c: F.get("codes", F.ascii(c))
     one = (lambda c: F.coalesce(code(c), F.raise_error(F.concat(F.lit("character not in the vocabulary: "), c)).cast("int"))) if strict else code
-    out = rows.join(F.broadcast(_tables(vocab).select("codes")))
+    out = rows.join(F.broadcast(_codes(vocab)))
     ids = F.when(F.length(text) == 0, F.array().cast("array<int>")).otherwise(F.transform(characters(text), one))
     return out.withColumn("ids", ids).drop("codes")
 
 
 def char_decode(rows: DataFrame, vocab: DataFrame, ids: str = "ids") -> DataFrame:
     """`rows` with `decoded`, the characters of `ids` joined."""
-    out = rows.join(F.broadcast(_tables(vocab).select("chars")))
+    out = rows.join(F.broadcast(dense_array(vocab, "id", "ch", "chars")))
     return out.withColumn("decoded", F.array_join(F.transform(F.col(ids), lambda i: F.get("chars", i)), "")).drop("chars")
 
 

@@ -266,8 +266,7 @@ def token_decode(spark: SparkSession, d: str) -> DataFrame:
         t = rows.select("web_id", F.posexplode("ids").alias("i", "token_id")).join(pieces, "token_id")
         text = t.groupBy("web_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "piece"))), lambda x: x["piece"]), "").alias("t"))
     else:
-        table = pieces.agg(F.map_from_entries(F.collect_list(F.struct("token_id", "piece"))).alias("m"), F.max("token_id").alias("top"))
-        table = table.select(F.transform(F.sequence(F.lit(0), "top"), lambda i: F.coalesce(F.col("m")[i], F.lit(""))).alias("pieces"))
+        table = vocab.dense_array(pieces.withColumn("piece", F.coalesce("piece", F.lit(""))), "token_id", "piece", "pieces")
         text = rows.join(F.broadcast(table)).select("web_id", F.array_join(F.transform("ids", lambda i: F.coalesce(F.get("pieces", i), F.lit(""))), "").alias("t")).where("t != ''")
     return text.select("web_id", F.md5("t").alias("text_md5"))
 
