@@ -269,8 +269,12 @@ def near_duplicate_classes(records: DataFrame, threshold: float = 0.5) -> DataFr
         tagged = large.join(groups.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
         split = tagged.groupBy("variant").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("variant")
         tagged = stage_table(tagged.join(split, "variant", "left_semi"), "large")
-        other = tagged.select("variant", F.col("sig").alias("b"), F.col("component").alias("other"))
-        rest = tagged.withColumnRenamed("sig", "a").join(other, "variant").where("component != other and a < b").select("a", "b").distinct()
+        # all pairs across components; a group's largest component stands on one side only
+        share = tagged.groupBy("variant", "component").count().groupBy("variant").agg(F.max_by("component", "count").alias("largest"))
+        few = tagged.join(share, "variant").where("component != largest").select("variant", F.col("sig").alias("p"), "component")
+        other = tagged.select("variant", F.col("sig").alias("q"), F.col("component").alias("other"))
+        rest = few.join(other, "variant").where("component != other").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))  # ordered as signed numbers here
         links = links.unionByName(_verified(rest.join(pairs, ["a", "b"], "left_anti"), texts, threshold))
         groups = connected_components(links)
     members = rows.mapInArrow(_members, "rec_id long, sig long, n_words int").dropDuplicates(["rec_id"])
