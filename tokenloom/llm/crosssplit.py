@@ -48,8 +48,8 @@ def _pieces(lists: list[np.ndarray]) -> Pieces:
 class Shard:
     """Evaluation texts with their runs, and which runs are looked for."""
 
-    def __init__(self, ids: list[list[int]], texts: list[np.ndarray], threshold: float):
-        self.ids = ids
+    def __init__(self, sigs: list[int], texts: list[np.ndarray], threshold: float):
+        self.sigs = sigs
         self.name = uuid.uuid4().hex
         w = _pieces(texts)
         at, h = shingles(w, RUN)
@@ -159,9 +159,9 @@ def _scan(shard: Broadcast, pieces: Broadcast | None, threshold: float):
                         shared, covered = index.compare(t, runs)
                         either = len(runs) + int(index.size[t]) - shared
                         if shared >= threshold * either:
-                            out += [(keys[i + r], e, shared, either, covered, int(index.n_words[t])) for e in index.ids[t]]
+                            out.append((keys[i + r], index.sigs[t], shared, either, covered, int(index.n_words[t])))
             cols = list(zip(*out)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["train_id", "eval_id", "shared_runs", "runs", "covered_words", "eval_words"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["train_id", "sig", "shared_runs", "runs", "covered_words", "eval_words"])
 
     return scan
 
@@ -202,12 +202,13 @@ def cross_split_overlaps(
     shards = -(-total // shard_words) or 1
     found = None
     for k in range(shards):
-        mine = held.where(F.pmod(F.xxhash64("sig", "n_words"), F.lit(shards)) == k)
-        texts = mine.groupBy("sig", "n_words").agg(F.first("words").alias("words"), F.array_sort(F.collect_list("web_id")).alias("ids")).orderBy("sig", "n_words").toPandas()
-        shard = spark.sparkContext.broadcast(Shard([list(map(int, x)) for x in texts["ids"]], [np.frombuffer(x, U64) for x in texts["words"]], threshold))
-        part = train.mapInArrow(_scan(shard, pieces, threshold), "train_id long, eval_id long, shared_runs long, runs long, covered_words long, eval_words long")
+        texts = held.where(F.pmod(F.xxhash64("sig", "n_words"), F.lit(shards)) == k).groupBy("sig", "n_words").agg(F.first("words").alias("words")).orderBy("sig", "n_words").toPandas()
+        shard = spark.sparkContext.broadcast(Shard(texts["sig"].tolist(), [np.frombuffer(x, U64) for x in texts["words"]], threshold))
+        part = train.mapInArrow(_scan(shard, pieces, threshold), "train_id long, sig long, shared_runs long, runs long, covered_words long, eval_words long")
         found = part if found is None else found.unionByName(part)
-    return found.dropDuplicates(["train_id", "eval_id"])
+    own = held.select("sig", F.col("n_words").cast("long").alias("eval_words"), F.col("web_id").alias("eval_id"))
+    pairs = found.dropDuplicates(["train_id", "sig", "eval_words"]).join(own, ["sig", "eval_words"])
+    return pairs.select("train_id", "eval_id", "shared_runs", "runs", "covered_words", "eval_words")
 
 
 def overlap_report(pairs: DataFrame, records: DataFrame) -> DataFrame:
