@@ -63,7 +63,10 @@ class Encoder:
         self.halves = _halves(ranks)
         self.merged = {pair: token for token, pair in self.halves.items()}
         self.size = {rank: len(token) for token, rank in ranks.items()}
-        self.longest = max(map(len, ranks), default=1)
+        sizes: list[set[int]] = [set() for _ in range(256)]
+        for token in ranks:
+            sizes[token[-1]].add(len(token))
+        self.sizes = [sorted(x, reverse=True) for x in sizes]  # of the tokens that end with each byte
         self.pattern = pattern
         self._ready()
 
@@ -122,7 +125,10 @@ class Encoder:
             del last[depth:]
             path = raw
             for end in range(depth + 1, len(raw) + 1):
-                for start in range(max(0, end - self.longest), end):
+                for length in self.sizes[raw[end - 1]]:
+                    start = end - length
+                    if start < 0:
+                        continue
                     token = get(raw[start:end])
                     if token is not None and (start == 0 or may(last[start - 1], token)):
                         last.append(token)
