@@ -30,9 +30,10 @@ RUN = 3
 MIN_WORDS = 20
 SIZE, KEEP, TABLES = 6, 4, 7
 #: Up to this many records of one variant, all their pairs are candidates. A larger group is
-#: first joined through its smallest member and its neighbours; what that leaves in different
-#: components is paired afterwards.
+#: first joined through its smallest member, then, `ROUNDS` times, what is outside its largest
+#: component through some member of that. What this leaves in different components is paired.
 SMALL = 32
+ROUNDS = 3
 #: Variants that a task packs before it hands them on.
 PACK = 2_000_000
 _GOLD = U64(0x9E3779B97F4A7C15)
@@ -176,8 +177,8 @@ def _collide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds, xs, ys = [], [], []
     for s, n in zip(edge[size > SMALL].tolist(), size[size > SMALL].tolist()):
         group = sig[s : s + n]
-        a += [np.full(n - 1, group[0]), group[1:-1]]
-        b += [group[1:], group[2:]]
+        a.append(np.full(n - 1, group[0]))
+        b.append(group[1:])
         kinds.append(np.ones(n, np.int8))
         xs.append(np.full(n, variant[s]))
         ys.append(group)
@@ -242,6 +243,38 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("rec_id").slice(i, j - i), pa.array(sig, mask=~part.valid), pa.array(count.astype(np.int32), mask=~part.valid)], ["rec_id", "sig", "n_words"])
 
 
+def _join_large(large: DataFrame, tried: DataFrame, links: DataFrame, groups: DataFrame, texts: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Links and components after the members of large groups (variant, sig) have been joined.
+
+    Each round compares the members outside a group's largest component with one member of it,
+    another in every round and group; the last pass pairs whatever is still in different
+    components, the largest component of a group standing on one side only.
+    """
+    ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    tried = tried.select(*ordered("a", "b"))  # ordered as signed numbers from here on
+    for turn in range(ROUNDS + 1):
+        tagged = large.join(groups.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+        open_ = tagged.groupBy("variant").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("variant")
+        tagged = stage_table(tagged.join(open_, "variant", "left_semi"), "large")
+        if not tagged.take(1):
+            break
+        largest = tagged.groupBy("variant", "component").count().groupBy("variant").agg(F.max_by("component", F.struct("count", "component")).alias("largest"))
+        tagged = tagged.join(largest, "variant")
+        outside = tagged.where("component != largest").select("variant", F.col("sig").alias("p"), "component")
+        inside = tagged.where("component = largest").select("variant", "sig")
+        if turn < ROUNDS:
+            other = inside.groupBy("variant").agg(F.max_by("sig", F.xxhash64("sig", "variant", F.lit(turn))).alias("q"))
+            more = outside.join(other, "variant").select(*ordered("p", "q"))
+        else:
+            other = tagged.select("variant", F.col("sig").alias("q"), F.col("component").alias("other"))
+            more = outside.join(other, "variant").where("component != other").select(*ordered("p", "q"))
+        more = stage_table(more.distinct().join(tried, ["a", "b"], "left_anti"), "more")
+        links = links.unionByName(_verified(more, texts, threshold))
+        groups = connected_components(links)
+        tried = tried.unionByName(more)
+    return links, groups
+
+
 def near_duplicate_classes(records: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(rec_id, class_id, n_words): one row per record with a text; alike records share a class.
 
@@ -265,18 +298,7 @@ def near_duplicate_classes(records: DataFrame, threshold: float = 0.5) -> DataFr
     groups = connected_components(links)
     large = found.where("kind = 1").select(F.col("x").alias("variant"), F.col("y").alias("sig"))
     if large.take(1):
-        # members of a large group that its star left in different components
-        tagged = large.join(groups.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
-        split = tagged.groupBy("variant").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("variant")
-        tagged = stage_table(tagged.join(split, "variant", "left_semi"), "large")
-        # all pairs across components; a group's largest component stands on one side only
-        share = tagged.groupBy("variant", "component").count().groupBy("variant").agg(F.max_by("component", "count").alias("largest"))
-        few = tagged.join(share, "variant").where("component != largest").select("variant", F.col("sig").alias("p"), "component")
-        other = tagged.select("variant", F.col("sig").alias("q"), F.col("component").alias("other"))
-        rest = few.join(other, "variant").where("component != other").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))  # ordered as signed numbers here
-        links = links.unionByName(_verified(rest.join(pairs, ["a", "b"], "left_anti"), texts, threshold))
-        groups = connected_components(links)
+        links, groups = _join_large(large, pairs, links, groups, texts, threshold)
     members = rows.mapInArrow(_members, "rec_id long, sig long, n_words int").dropDuplicates(["rec_id"])
     classes = members.join(groups.withColumnRenamed("node", "sig"), "sig", "left")
     own = F.when(F.col("n_words") >= MIN_WORDS, F.coalesce("component", "sig")).otherwise(F.xxhash64(F.lit("short"), "rec_id"))
