@@ -14,9 +14,7 @@ at least the surplus must be met by any alike training record. No pair is lost.
 from __future__ import annotations
 
 import uuid
-from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -74,7 +72,6 @@ class Shard:
         by = np.argsort(key, kind="stable")
         self.keys, first = np.unique(key[by], return_index=True)
         self.owners, self.owned = own[by], np.append(first, len(own))
-        # two words of a pattern can share a code: a text may then own a pattern twice
         self.n_words = np.array([len(x) for x in texts])
 
     def automaton(self) -> ahocorasick.Automaton:
@@ -90,9 +87,8 @@ class Shard:
     def met(self, values: set[int]) -> list[int]:
         """Texts of which so many passages were met that they can be alike."""
         a, b = self.owned, self.owners
-        count = Counter(chain.from_iterable(b[a[v] : a[v + 1]].tolist() for v in values))
-        need = self.need
-        return [t for t, n in count.items() if n >= need[t]]
+        texts, count = np.unique(np.concatenate([b[a[v] : a[v + 1]] for v in values]), return_counts=True)
+        return texts[count >= self.need[texts]].tolist()
 
     def compare(self, text: int, runs: np.ndarray) -> tuple[int, int]:
         """Distinct runs shared with the sorted distinct `runs`, and words they cover."""
