@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.spans import Pieces, Texts, bounds, lines, slices, texts_of, words
 from ..session import spread, stage_table
+from .repetition import repeated_words
 
 MIN_CHARS = 40
 CLASSES = ("prose", "list", "table", "junk")
@@ -93,8 +94,9 @@ def text_statistics(t: Texts, known: np.ndarray) -> dict[str, np.ndarray]:
     own = np.where(tail, t.offs[w.row + 1], own[: len(at)])
     start = np.where(np.append(True, tail[:-1]) if len(at) else tail, t.offs[w.row], w.start)
     owned = own - start
+    owned = np.where(repeated_words(w), 0, owned)  # what repeats itself tells nothing new
     foreign = np.where(running, np.maximum(owned - width - 6, 0), owned)
-    nonprose = np.where(count > 0, np.bincount(w.row, foreign, n) / np.maximum(size, 1), np.where(size > 0, 1.0, 0.0))
+    nonprose = np.where(count > 0, np.bincount(w.row, foreign, n) / np.maximum(np.bincount(w.row, owned, n), 1), np.where(size > 0, 1.0, 0.0))
 
     ln = lines(t)
     ended = np.isin(t.buf[ln.end - 1], _ENDS) if len(ln.row) else np.zeros(0, bool)
@@ -124,7 +126,8 @@ def quality_stats(records: DataFrame) -> DataFrame:
     """(rec_id, n_chars, n_words, mean_word_len, symbol_share, digit_share, punct_line_share,
     common_share, nonprose_share) of `records` (rec_id, text).
 
-    Shares are of code points, lines or words. A null text gives nulls, an empty one zeros. One
+    Shares are of code points, lines or words; `nonprose_share` is of bytes, without runs of words
+    that repeat earlier ones. A null text gives nulls, an empty one zeros. One
     row per rec_id; rows of a null rec_id are left out; other columns are ignored.
     """
     rows = records.select(F.col("rec_id").cast("long").alias("rec_id"), "text").where("rec_id is not null")
