@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..sources.corpus import SplitPlan
 from .positions import hash_rank
 
+# fixed values: share and seed of the published web corpus
 VAL_SIZE, SEED = 0.0005, 2357
 
 
