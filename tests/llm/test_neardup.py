@@ -76,6 +76,32 @@ def test_many_copies_and_long_texts(spark):
     assert len(pairs(spark, rows)) == 200 * 199 // 2 + 1
 
 
+def test_small_sets_that_contain_one_another_are_linked(spark):
+    rows = [(0, "buy cheap now " * 8), (1, "buy cheap now " * 8 + "from our shop")]
+    assert pairs(spark, rows) == {(0, 1)}
+    for period in range(3, 9):
+        for k in range(40):
+            w = [f"p{period}k{k}w{i}" for i in range(2 * period)]
+            base = (w[:period] * 20)[:24]
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(base + w[period:]))]
+    want = brute(rows)
+    assert pairs(spark, rows) == want and len(want) == 241
+
+
+def test_texts_cut_in_half_are_linked(spark):
+    rnd = random.Random(11)
+    rows = []
+    for n in (22, 60, 150):
+        for _ in range(400):
+            w = rnd.choices(WORDS, k=n)
+            rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(w + rnd.choices(WORDS, k=n - 2)))]
+    want = {(i, i + 1) for i in range(0, len(rows), 2)}
+    for i, j in want:
+        a, b = runs(rows[i][1])[0], runs(rows[j][1])[0]
+        assert 2 * len(a & b) >= len(a | b)
+    assert len(want - pairs(spark, rows)) <= 1  # with 4 of 6 in 12 tables 8 were missed
+
+
 @pytest.mark.parametrize("rows", [[], [(None, "x " * 30)], [(1, None)]])
 def test_nothing_to_group(spark, rows):
     assert pairs(spark, rows) == set()

@@ -8,9 +8,14 @@ have a variant in common, the point in the middle between them. Variants are shu
 that collide become candidate pairs, pairs are deduplicated and verified on the whole sets, and
 verified links are closed to groups.
 
-Two fingerprints of sets of similarity 0.5 have 4 of 6 elements in common with probability 0.51,
-of 0.6 with 0.72 (simulated). Twelve tables leave 2 links in 10,000 of a similarity of just 0.5
-unseen, and 3 in 10 million of 0.6, before chains are counted.
+Worst are links where one set contains the other: at a similarity of 0.5 each of the smallest 5
+of a large set is in the smaller one with probability 0.5, so 4 of 5 are common with probability
+0.19, and 54 tables leave 1.4 links in 100,000 unseen; 9 runs in 18 have 4 in common with
+probability 0.147, which leaves 19. Simulated, edits on both sides at 0.5 leave 7 in 100 million.
+
+Links with a set of at most `EXACT` runs are never missed: it and all sets that can be alike to it
+emit single runs besides, the first ones in one order of hashes, so many that alike sets must
+share one (prefix filter).
 """
 
 from __future__ import annotations
@@ -28,7 +33,10 @@ from ..session import shuffle_width, spread, stage_table
 
 RUN = 3
 MIN_WORDS = 20
-SIZE, KEEP, TABLES = 6, 4, 12
+SIZE, KEEP, TABLES = 5, 4, 54
+#: Links with a set of at most so many runs are found exactly. At 0.5 the other set has at most 16
+#: runs, fewer than any text of `MIN_WORDS` that doesn't repeat itself, so common runs stay rare here.
+EXACT = 8
 #: Up to this many records of one variant, all their pairs are candidates. A larger group is
 #: first joined through its smallest member, then, `ROUNDS` times, what is outside its largest
 #: component through some member of that. What this leaves in different components is paired.
@@ -95,6 +103,20 @@ def _variants(row: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate(parts, 1)
 
 
+def _prefixes(row: np.ndarray, value: np.ndarray, n: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, variant): single runs of small sets. Two sets alike by `threshold`, one of them of at
+    most `EXACT` runs, have one in common."""
+    count = np.bincount(row, minlength=n)
+    some = (count <= EXACT / threshold)[row]
+    with np.errstate(over="ignore"):
+        row, key = row[some], mix64(value[some] + U64(TABLES + 1) * _GOLD)
+    order = np.lexsort((key, row))
+    row, key = row[order], key[order]
+    shared = np.ceil(threshold * count - 1e-9).astype(np.int64)  # at least so many of a set's runs are in an alike one
+    some = np.arange(len(row)) - bounds(row, n)[row] <= (count - shared)[row]
+    return row[some], key[some]
+
+
 def _pack(variant: np.ndarray, sig: np.ndarray) -> bytes:
     own, at = np.unique(sig, return_inverse=True)
     return b"".join([np.array([len(own), len(variant)], np.int64).tobytes(), own.tobytes(), (variant >> U64(32)).astype(np.uint32).tobytes(), (variant >> U64(16)).astype(np.uint16).tobytes(), at.astype(np.uint16 if len(own) <= 1 << 16 else np.uint32).tobytes()])
@@ -110,15 +132,15 @@ def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return hi.astype(U64) << U64(16) | lo, own[place]
 
 
-def _emit_variants(targets: int):
+def _emit_variants(targets: int, threshold: float):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
         seen = np.zeros(0, U64)
 
         def flush() -> pa.RecordBatch:
-            variant = np.concatenate([v.ravel() for v, _ in held])
-            sig = np.concatenate([np.repeat(s, v.shape[1]) for v, s in held])
+            variant = np.concatenate([v for v, _ in held])
+            sig = np.concatenate([s for _, s in held])
             target = (variant % U64(targets)).astype(np.int32)
             order = np.argsort(target, kind="stable")
             target, variant, sig = target[order], variant[order], sig[order]
@@ -139,9 +161,11 @@ def _emit_variants(targets: int):
                     continue
                 seen = np.concatenate([seen, sig[keep]])[-1_000_000:]
                 row, value = _sets(w, keep)
-                new = np.cumsum(keep) - 1
-                held.append((_variants(new[row], value, int(keep.sum())), sig[keep]))
-                size += held[-1][0].size
+                row, sig, n = (np.cumsum(keep) - 1)[row], sig[keep], int(keep.sum())
+                v = _variants(row, value, n)
+                small, single = _prefixes(row, value, n, threshold)
+                held += [(v.ravel(), np.repeat(sig, v.shape[1])), (single, sig[small])]
+                size += v.size + single.size
                 if size >= PACK:
                     yield flush()
                     held, size = [], 0
@@ -288,9 +312,9 @@ def near_duplicate_classes(records: DataFrame, threshold: float = 0.5) -> DataFr
     spark = records.sparkSession
     rows = spread(records.select(F.col("rec_id").cast("long").alias("rec_id"), "text").where("rec_id is not null and text is not null"))
     texts = rows.select("text")
-    # 105 variants of about 9 bytes for each text; a partition of them should stay near 64 MB
+    # 270 variants of about 9 bytes for each text; a partition of them should stay near 64 MB
     targets = max(shuffle_width(spark), records.count() * TABLES * len(_SUBSETS) * 9 // (64 << 20))
-    variants = texts.mapInArrow(_emit_variants(targets), "target int, blob binary")
+    variants = texts.mapInArrow(_emit_variants(targets, threshold), "target int, blob binary")
     found = variants.repartitionById(targets, F.col("target")).select("blob").mapInArrow(_collide, "kind byte, x long, y long")
     found = stage_table(found, "candidates")
     pairs = found.where("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
