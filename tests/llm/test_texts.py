@@ -3,8 +3,10 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
+from tokenloom.functions.spans import texts_of
 from tokenloom.llm import leakage, naturalness, repetition
 
 LOW = {i: i + 32 for i in range(65, 91)}
@@ -191,3 +193,20 @@ def test_statistics_by_hand(spark):
     assert s.symbol_share == pytest.approx(3 / 23) and s.digit_share == pytest.approx(2 / 23)
     assert s.punct_line_share == 0.5 and s.common_share == pytest.approx(2 / 6)
     assert got[2].nonprose_share == 0.0  # prose that stammers is prose
+
+
+def test_tables_that_repeat_beside_prose_are_not_prose():
+    prose = "We went over to the market in the morning, and it was so full of people that we could not get to any of the stalls."
+    rows = ["4411;north;7.25;ok\n", "8120;south;1.75;late\n", "3377;west;0.5;void\n"]
+    data = [
+        "\nid,4411,2024-05-06,17.25,ok" * 40,
+        "\nx1,22,ok" * 80,
+        "\n2024-05-06 12:44:01 WARN worker-7 disk sda1 retry queue=12 status=503 latency=88ms" * 40,
+        "\n" + "".join(random.Random(1).choice(rows) for _ in range(60)),
+        "\n" + "click banner win prize code zz9 " * 50,
+        "\n- blue paint\n- steel nails\n- oak board" * 20,
+    ]
+    again = [" " + prose] * 20, [" The shiny red garden chair arrived late on Monday."] * 30
+    texts = [prose + d for d in data] + [prose + "".join(a) for a in again]
+    share = naturalness.text_statistics(texts_of(pa.array(texts)), naturalness._common_hashes())["nonprose_share"]
+    assert (share[: len(data)] > 0.5).all() and (share[len(data) :] < 0.2).all()

@@ -13,9 +13,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.spans import Pieces, Texts, bounds, lines, slices, texts_of, words
+from ..functions.spans import Pieces, Texts, bounds, lines, shingles, slices, texts_of, words
 from ..session import spread, stage_table
-from .repetition import repeated_words
+from .repetition import RUN
 
 MIN_CHARS = 40
 CLASSES = ("prose", "list", "table", "junk")
@@ -69,6 +69,25 @@ def _is_common(t: Texts, w: Pieces, known: np.ndarray) -> np.ndarray:
     return common
 
 
+def _first_places(w: Pieces) -> np.ndarray:
+    """For each word its place where the run of `RUN` words that repeats there stood first; a word
+    in no such run is in its first place."""
+    at, h = shingles(w, RUN)
+    order = np.lexsort((at, h, w.row[at]))
+    row, h = w.row[at[order]], h[order]
+    head = np.append(True, (row[1:] != row[:-1]) | (h[1:] != h[:-1])) if len(at) else np.zeros(0, bool)
+    origin = at[order][np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))]
+    run, origin = at[order][~head], origin[~head]
+    place = np.arange(len(w.row))
+    for k in range(RUN):
+        np.minimum.at(place, run + k, origin + k)
+    while True:  # a first occurrence may hold words of a run that stood earlier still
+        further = place[place]
+        if (further == place).all():
+            return place
+        place = further
+
+
 def text_statistics(t: Texts, known: np.ndarray) -> dict[str, np.ndarray]:
     n = len(t.valid)
     size = np.diff(t.offs)
@@ -94,9 +113,12 @@ def text_statistics(t: Texts, known: np.ndarray) -> dict[str, np.ndarray]:
     own = np.where(tail, t.offs[w.row + 1], own[: len(at)])
     start = np.where(np.append(True, tail[:-1]) if len(at) else tail, t.offs[w.row], w.start)
     owned = own - start
-    owned = np.where(repeated_words(w), 0, owned)  # what repeats itself tells nothing new
+    # repeated prose is prose, a repeated table is a table, also where it first stands beside prose:
+    # what repeats takes the verdict of its first place unless no common word is within reach here
+    first_at = _first_places(w)
+    running = np.where((first_at == at) | (upto[hi] > upto[lo]), running[first_at], False)
     foreign = np.where(running, np.maximum(owned - width - 6, 0), owned)
-    nonprose = np.where(count > 0, np.bincount(w.row, foreign, n) / np.maximum(np.bincount(w.row, owned, n), 1), np.where(size > 0, 1.0, 0.0))
+    nonprose = np.where(count > 0, np.bincount(w.row, foreign, n) / np.maximum(size, 1), np.where(size > 0, 1.0, 0.0))
 
     ln = lines(t)
     ended = np.isin(t.buf[ln.end - 1], _ENDS) if len(ln.row) else np.zeros(0, bool)
@@ -126,8 +148,8 @@ def quality_stats(records: DataFrame) -> DataFrame:
     """(rec_id, n_chars, n_words, mean_word_len, symbol_share, digit_share, punct_line_share,
     common_share, nonprose_share) of `records` (rec_id, text).
 
-    Shares are of code points, lines or words; `nonprose_share` is of bytes, without runs of words
-    that repeat earlier ones. A null text gives nulls, an empty one zeros. One
+    Shares are of code points, lines or words; `nonprose_share` is of bytes; runs of words that
+    repeat earlier ones count as what they were there, if common words are near. A null text gives nulls, an empty one zeros. One
     row per rec_id; rows of a null rec_id are left out; other columns are ignored.
     """
     rows = records.select(F.col("rec_id").cast("long").alias("rec_id"), "text").where("rec_id is not null")
