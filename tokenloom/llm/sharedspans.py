@@ -1,13 +1,12 @@
-"""Long exact spans shared between documents, by factoring against indexed reference blocks.
+"""Long exact spans shared between documents, by winnowed anchors and an index of windows.
 
 Winnowing picks anchors (hashes of `GRAM` characters) so densely that every stretch of `SPAN`
 characters holds one, at a place that only the stretch itself decides. Documents without a
 common anchor therefore share no such stretch, and a reference block need only hold the
-surroundings of one anchor in every document that has it. Each document is factored relative
-to the blocks of its anchors: stretches of `SPAN` characters or more that the block has from
-another document become factors. Greedy factors may break inside a longer shared stretch, so
-every start around a factor's limits is looked up in the block's index too and touching
-factors are joined.
+surroundings of one anchor in every document that has it. All windows of `SPAN` characters of a
+block are indexed by their hash; those that two documents have are marked, and marked windows
+that touch are joined. There is no greedy (Lempel-Ziv) parse: its factors may break inside a
+longer shared stretch, and to test every start around their limits is the same as to test all.
 """
 
 from __future__ import annotations
@@ -136,7 +135,7 @@ def _windows(body: pa.Array, span: int) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 
 def _factor_block(anchor: np.ndarray, tid: np.ndarray, start: np.ndarray, body: pa.Array, span: int) -> pa.RecordBatch:
-    """Factors (tid, start, stop) of the contexts of some anchors against one another."""
+    """Stretches (tid, start, stop) of the contexts of some anchors that another text has too."""
     row, off, h = _windows(body, span)
     with np.errstate(over="ignore"):
         h = mix64(h + mix64(anchor[row].astype(U64)))
