@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tokenloom.functions import bpe, content, scalars
 from tokenloom.operators import blocks, graph, positions, runs, scoring, splits, vocab
 from tokenloom.session import stage_table
-from tokenloom.sources import corpus, tokenbin
+from tokenloom.sources import checkpoint, corpus, tokenbin
 
 
 # ---------------------------------------------------------------- splits
@@ -170,6 +170,20 @@ def test_token_file_round_trip(spark, tmp_path):
     assert not os.path.exists(tmp_path / "c.bin")
 
 
+def test_token_file_takes_arrays(spark, tmp_path):
+    tokenbin.register(spark)
+    arrays = [[5, 6], [], [7], None, [8, 9, 65535], [1] * 50]
+    placed = blocks.placed_stream(spark.createDataFrame([(i, a) for i, a in enumerate(arrays)] * 2, "doc_id long, ids array<int>"), distinct=True)
+    path = str(tmp_path / "a.bin")
+    placed.select("start", "ids").repartition(3).write.format("tokenbin").mode("append").save(path)
+    assert np.fromfile(path, "<u2").tolist() == [t for a in arrays for t in a or []]
+    for bad, message in (([(0, [1, 70_000])], "does not fit"), ([(0, [1, None])], "does not fit"), ([(1, [5])], "places"), ([(0, [5, 6]), (1, [7])], "places")):
+        with pytest.raises(Exception, match=message):
+            spark.createDataFrame(bad, "start long, ids array<int>").write.format("tokenbin").mode("append").save(str(tmp_path / "b.bin"))
+    spark.createDataFrame([], "start long, ids array<int>").write.format("tokenbin").mode("append").save(str(tmp_path / "c.bin"))
+    assert os.path.getsize(tmp_path / "c.bin") == 0
+
+
 def test_dtype_choice(spark):
     values = [None, 0, 65535, 65536, 2**32 - 1, 2**32]
     got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "m long").select(scalars.dtype_choice(F.col("m"))).collect()]
@@ -225,6 +239,37 @@ def test_logit_scorer_agrees_with_the_expression(spark):
     assert scoring.score_blocks(ignored, scoring.Uniform(10)).first().n_targets == 1
 
 
+def saved_model():
+    table = np.random.default_rng(2).normal(size=(11, 3)).astype(np.float32)
+    return checkpoint.Checkpoint({"vocab_size": 11}, {"betas": [0.9, 0.95]}, {"tokens": table}, {"tokens.m": table * 0})
+
+
+def test_checkpoints_are_saved_read_and_scored(spark, tmp_path):
+    saved = saved_model()
+    path = checkpoint.save_checkpoint(str(tmp_path), "run", saved, 7.5, "Tied", "A B")
+    assert path == "run/007.5000val_loss_Tied_AB.pt" and os.listdir(tmp_path / "run") == [path[4:]]
+    back = checkpoint.load_checkpoint(str(tmp_path), path)
+    assert back.model_config == saved.model_config and back.optimizer_config == saved.optimizer_config
+    assert (back.model_state["tokens"] == saved.model_state["tokens"]).all() and list(back.optimizer_state) == ["tokens.m"]
+    assert checkpoint.save_checkpoint(str(tmp_path), "run", saved, 7.5, "Tied") == "run/007.5000val_loss_Tied_N-A.pt"
+    for bad in ("x.pt", "a/b/c", "../x", "/x"):
+        with pytest.raises(ValueError, match="not folder/file"):
+            checkpoint.load_checkpoint(str(tmp_path), bad)
+    rows = spark.createDataFrame([(i, [i % 11, 3], [3, (i * 7) % 11]) for i in range(20)], "block_id long, x array<int>, y array<int>")
+    far = scoring.create_scorer("checkpoint", str(tmp_path), path, scoring.tied_embedding)
+    near = scoring.tied_embedding(saved)
+    got = [scoring.perplexity(scoring.score_blocks(rows.repartition(4), s)).first().perplexity for s in (far, near)]
+    assert got[0] == pytest.approx(got[1])
+
+
+def test_batches_are_stacked_in_block_order(spark):
+    kept = blocks.full_batches(blocks.pack_blocks(stream(spark, [list(range(41))]), 4), 4, 3)
+    got = {r.batch_id: (r.xs, r.ys) for r in blocks.stack_batches(kept.repartition(5)).collect()}
+    assert sorted(got) == [0, 1, 2]
+    assert got[1] == ([list(range(a, a + 4)) for a in (12, 16, 20)], [list(range(a + 1, a + 5)) for a in (12, 16, 20)])
+    assert blocks.stack_batches(kept.limit(0)).count() == 0
+
+
 # ---------------------------------------------------------------- runs
 LOG = "run_id string, iter long, split string, loss double, lr double, dt_ms double, mfu double, logged_at timestamp"
 
@@ -253,6 +298,53 @@ def test_running_utilisation(spark):
     assert got == pytest.approx(want)
 
 
+def test_running_utilisation_of_many_runs_and_a_full_one(spark):
+    from pyspark.sql import functions as F
+
+    rnd = np.random.default_rng(3)
+    runs_ = {f"r{k}": np.where(rnd.random(n) < 0.2, -1.0, rnd.random(n)) for k, n in enumerate((1, 4, 5, 6, 63, 64, 65, 300))}
+    rows = [(r, i, "train", 1.0, 1e-3, 10.0, float(v), None) for r, vs in runs_.items() for i, v in enumerate(vs)]
+    got = {}
+    for r in runs.mfu_average(spark.createDataFrame(rows, LOG)).orderBy("run_id", "iter").collect():
+        got.setdefault(r.run_id, []).append(r.running_mfu)
+    for name, vs in runs_.items():
+        want, m = [], -1.0
+        for k, v in enumerate(vs):
+            m = -1.0 if k < 5 else v if m == -1.0 else 0.9 * m + 0.1 * v
+            want.append(m)
+        assert got[name] == pytest.approx(want)
+    full = spark.range(600_001).select(F.lit("r").alias("run_id"), F.col("id").alias("iter"), F.lit("train").alias("split"), F.lit(1.0).alias("loss"), F.lit(0.1).alias("lr"), F.lit(1.0).alias("dt_ms"), F.lit(0.5).alias("mfu"), F.lit(None).cast("timestamp").alias("logged_at"))
+    with runs.stopwatch() as took:
+        assert runs.mfu_average(full).where("running_mfu between 0.4999999 and 0.5000001").count() == 600_001 - 5
+    assert took["seconds"] < 60
+
+
+def test_steps_times_and_tokens(spark):
+    import datetime as dt
+
+    t = dt.datetime(2024, 1, 1)
+    log = spark.createDataFrame([("r", i, s, 1.0, 0.1, 1.0, 0.5, t + dt.timedelta(seconds=i * 2 + k)) for i in (0, 3, 7) for k, s in enumerate(("train", "val"))] + [("q", None, "val", 1.0, 0.1, 1.0, 0.5, None)], LOG)
+    got = {r.iter: (r.seconds, r.elapsed) for r in runs.step_times(log).collect()}
+    assert got == {0: (None, 0.0), 3: (6.0, 6.0), 7: (8.0, 14.0)}
+    assert {r.run_id: r.tokens for r in runs.tokens_seen(log.unionByName(log), 10).collect()} == {"r": 30, "q": 0}
+    steps = runs.training_steps(spark, 1.0, 500)
+    assert steps.count() == 501 and steps.agg(F.max("iter")).first()[0] == 500 and steps.where("saves").count() == 2 and steps.where("evaluates").count() == 11
+    past = runs.training_steps(spark, 1.0, 20, warmup=5, decay=10, floor=0.25).where("iter > 10")
+    assert past.count() == 10 and past.where("lr = 0.25").count() == 10
+
+
+def test_tables_that_grow_by_appends(spark, tmp_path):
+    path = str(tmp_path / "m")
+    runs.append_metrics(log_rows(spark, [(1, 2.0)]), path)
+    runs.append_metrics(spark.createDataFrame([("r", 2, 1.5)], "run_id string, iter int, loss float"), path)
+    got = {r.iter: r for r in spark.read.parquet(path).collect()}
+    assert got[1].loss == 2.0 and got[2].loss == 1.5 and got[2].lr is None and got[2].logged_at is not None
+    with pytest.raises(ValueError, match="columns other are not"):
+        runs.append_metrics(spark.createDataFrame([(1,)], "other int"), path)
+    runs.append_checkpoints(spark.createDataFrame([(1, "f/a.pt", 2.5)], "ckpt_id long, path string, val_loss double"), str(tmp_path / "c"))
+    assert spark.read.parquet(str(tmp_path / "c")).first().saved_at is not None
+
+
 def test_schedule_and_names(spark):
     its = [0, 199, 200, 300_000, 600_000, 600_001]
     got = [r[0] for r in spark.createDataFrame([(i,) for i in its], "i long").select(scalars.learning_rate(F.col("i"), 6e-4)).collect()]
@@ -279,6 +371,7 @@ def test_configs_groups_and_states(spark, tmp_path):
     p = spark.createDataFrame([("w", [10, 20], True, None), ("b", [20], True, None), ("f", [5], False, None), ("t", [10, 20], True, "w")], "name string, shape array<bigint>, requires_grad boolean, tied_to string")
     assert tuple(runs.parameter_groups(p, 224).first()) == (225, 220, 200, 20, True)
     assert tuple(runs.parameter_groups(p.limit(0)).first()) == (0, 0, 0, 0, False)
+    assert tuple(runs.parameter_groups(p.withColumn("k", F.lit(1)), 226, "k").first()) == (1, 225, 220, 200, 20, False)
     assert runs.start_state(False, "f/c.pt", {}, {"model_config": {"a": 1}, "iter": 7}) == {"config": {"a": 1}, "iter": 7, "resumed": "f/c.pt"}
     with pytest.raises(ValueError):
         runs.start_state(False, None, {}, None)

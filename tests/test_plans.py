@@ -26,13 +26,10 @@ def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
     for file in os.listdir(DATA):
         con.execute(f"CREATE VIEW {file[:-8]} AS SELECT * FROM read_parquet('{DATA}/{file}')")
-    try:
-        df = entry.queries()[name](spark, DATA)
-    except ValueError as e:  # the smallest tables hold less than one batch
-        assert "data too small" in str(e)
-        return
+    df = entry.queries()[name](spark, DATA)
     columns = sorted(df.columns)
     got = sorted((tuple(cell(r[c]) for c in columns) for r in df.collect()), key=repr)
+    assert got
     rel = con.sql(entry.oracle_sql()[name])
     assert sorted(rel.columns) == columns
     order = [rel.columns.index(c) for c in columns]

@@ -13,10 +13,14 @@ from .positions import running_offsets
 BLOCK, BATCH = 1024, 8
 
 
-def placed_stream(rows: DataFrame, key: str = "doc_id", ids: str = "ids") -> DataFrame:
-    """(key, ids, start): each array with its place in the stream; null and empty ones are left out."""
+def placed_stream(rows: DataFrame, key: str = "doc_id", ids: str = "ids", distinct: bool = False) -> DataFrame:
+    """(key, ids, start): each array with its place in the stream; null and empty ones are left out.
+
+    The arrays travel with their keys through the one shuffle that orders them. Keys are unique,
+    or with `distinct` one row of each key is taken.
+    """
     rows = rows.where(F.col(key).isNotNull() & (F.size(ids) > 0)).select(key, F.col(ids).alias("ids"))
-    return rows.join(running_offsets(rows, key, F.size("ids")).drop("size"), key)
+    return running_offsets(rows, key, F.size("ids"), carry=("ids",), distinct=distinct).drop("size")
 
 
 def pack_blocks(placed: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -52,6 +56,15 @@ def full_batches(blocks: DataFrame, block: int = BLOCK, batch: int = BATCH, full
     return blocks.where(F.col("block_id") < limit).select(*blocks.columns, F.floor(F.col("block_id") / batch).alias("batch_id"))
 
 
+def stack_batches(batches: DataFrame) -> DataFrame:
+    """(batch_id, xs, ys): the blocks of each batch as rows of one matrix, in block order.
+
+    A batch holds at most `batch` blocks by the way `full_batches` numbers them.
+    """
+    rows = batches.groupBy("batch_id").agg(F.array_sort(F.collect_list(F.struct("block_id", "x", "y"))).alias("r"))
+    return rows.select("batch_id", F.transform("r", lambda b: b["x"]).alias("xs"), F.transform("r", lambda b: b["y"]).alias("ys"))
+
+
 def sample_starts(spark, steps: int, batch: int, n_tokens: int, block: int = BLOCK, seed: int = 1337, rank: int = 0) -> DataFrame:
     """(step, slot, start): window starts drawn evenly, with replacement, from [0, n - block).
 

@@ -2,29 +2,51 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import shuffle_width, stage_table
 
 
-def running_offsets(rows: DataFrame, key: str, size: str | Column, name: str = "start") -> DataFrame:
-    """(key, size, `name`): for each row the sum of the sizes before it in the order of `key`.
+def _running(distinct: bool):
+    """Sums before each row of a sorted partition, kept across its batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, last = 0, None
+        for batch in batches:
+            if distinct and batch.num_rows:
+                key = batch.column(0).to_pylist()
+                batch = batch.filter(pa.array([k != before for k, before in zip(key, [last, *key])]))
+                last = key[-1]
+            size = np.asarray(batch.column(1), np.int64)
+            upto = np.cumsum(size) + total
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(upto - size)], [*batch.schema.names, "here"])
+            total = int(upto[-1]) if len(upto) else total
+
+    return run
+
+
+def running_offsets(rows: DataFrame, key: str, size: str | Column, name: str = "start", carry: tuple[str, ...] = (), distinct: bool = False) -> DataFrame:
+    """(key, size, `name`, carry...): for each row the sum of the sizes before it in the order of `key`.
 
-    Rows are put in ranges of the key and the ranges written once, so that they stay as they are;
-    the ranges' totals are summed up in order (one row per range) and added to the sums within
-    each range. `key` must be unique; null sizes count as 0.
+    One shuffle puts the rows, with the columns to `carry`, in ranges of the key; each sorted range
+    is summed up in one pass over its batches and written once. The ranges' totals (one row per
+    range) are summed up in order and added. `key` must be unique, or with `distinct` one row of
+    each is taken; null sizes count as 0.
     """
     spark = rows.sparkSession
     size = F.col(size) if isinstance(size, str) else size
-    narrow = rows.select(key, F.coalesce(size, F.lit(0)).cast("long").alias("size"))
-    ranged = narrow.repartitionByRange(shuffle_width(spark), key).withColumn("part", F.spark_partition_id())
-    ranged = stage_table(ranged, "ranges")
+    narrow = rows.select(key, F.coalesce(size, F.lit(0)).cast("long").alias("size"), *carry)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema) + ", here long"
+    ranged = narrow.repartitionByRange(shuffle_width(spark), key).sortWithinPartitions(key)
+    ranged = stage_table(ranged.mapInArrow(_running(distinct), schema).withColumn("part", F.spark_partition_id()), "ranges")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     totals = ranged.groupBy("part").agg(F.sum("size").alias("total"))
     totals = totals.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy("part").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    out = ranged.withColumn("here", F.coalesce(F.sum("size").over(within), F.lit(0))).join(F.broadcast(totals), "part")
-    return out.select(key, "size", (F.col("base") + F.col("here")).alias(name))
+    return ranged.join(F.broadcast(totals), "part").select(key, "size", (F.col("base") + F.col("here")).alias(name), *carry)
 
 
 def hash_rank(rows: DataFrame, key: str, seed: int) -> DataFrame:

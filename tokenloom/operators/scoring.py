@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..sources.checkpoint import Checkpoint, load_checkpoint
+
 IGNORED = -1
 
 
@@ -59,7 +61,45 @@ class Logits:
         return whole - np.take_along_axis(z, np.maximum(y, 0)[..., None], -1)[..., 0]
 
 
-_REGISTRY: dict[str, Callable[..., Scorer]] = {"uniform": Uniform, "unigram": Unigram}
+_LOADED: dict[tuple[str, str], Scorer] = {}
+
+
+class FromCheckpoint:
+    """A scorer built from a checkpoint where it is used.
+
+    Only the place `folder/file` under `root` and the way to `build` a scorer travel to the workers;
+    a worker reads the file at its first block and keeps the scorer of the last checkpoint it read.
+    """
+
+    def __init__(self, root: str, path: str, build: Callable[[Checkpoint], Scorer]):
+        self.root, self.path, self.build = root, path, build
+
+    def score(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        key = (self.root, self.path)
+        if key not in _LOADED:
+            made = self.build(load_checkpoint(*key))
+            _LOADED.clear()
+            _LOADED[key] = made
+        return _LOADED[key].score(x, y)
+
+
+class TiedEmbedding:
+    """A model whose one table (vocabulary, width) is embedding and head at once."""
+
+    def __init__(self, table: np.ndarray):
+        self.table = table.astype(np.float64)
+
+    def __call__(self, ids: np.ndarray) -> np.ndarray:
+        return self.table[ids] @ self.table.T
+
+
+def tied_embedding(saved: Checkpoint) -> Logits:
+    """The scorer of a checkpoint that holds the table `tokens` of a `TiedEmbedding`."""
+    table = saved.model_state["tokens"]
+    return Logits(TiedEmbedding(table), len(table))
+
+
+_REGISTRY: dict[str, Callable[..., Scorer]] = {"uniform": Uniform, "unigram": Unigram, "checkpoint": FromCheckpoint}
 
 
 def register_scorer(name: str, make: Callable[..., Scorer]) -> None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -167,24 +168,26 @@ b AS (SELECT block_id, n_y, sum_x, sum_y, first_x, last_y FROM x JOIN y USING (b
 
 
 def _stream_rows(spark: SparkSession, d: str) -> DataFrame:
-    rows = spread(read_table(spark, d, "general_purpose_prepare").where("split = 'train' and rec_id is not null and size(ids) > 0").select("rec_id", "ids"))
-    return rows.dropDuplicates(["rec_id"])
+    """Rows of the stream, those delivered twice still twice."""
+    return spread(read_table(spark, d, "general_purpose_prepare").where("split = 'train' and rec_id is not null and size(ids) > 0").select("rec_id", "ids"))
+
+
+def _stream_lengths(spark: SparkSession, d: str) -> DataFrame:
+    return _stream_rows(spark, d).select("rec_id", F.size("ids").alias("n")).dropDuplicates(["rec_id"])
 
 
 def _stream(spark: SparkSession, d: str) -> DataFrame:
-    rows = stage_table(_stream_rows(spark, d), "stream")
-    return stage_table(blocks.placed_stream(rows, "rec_id"), "placed")
+    return blocks.placed_stream(_stream_rows(spark, d), "rec_id", distinct=True)
 
 
 @query(f"WITH {_STREAM} SELECT rec_id, CAST(coalesce(sum(len(ids)) OVER (ORDER BY rec_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, len(ids) AS size FROM r")
 def doc_offsets(spark: SparkSession, d: str) -> DataFrame:
-    rows = stage_table(_stream_rows(spark, d).select("rec_id", F.size("ids").alias("n")), "lengths")
-    return positions.running_offsets(rows, "rec_id", "n").select("rec_id", "start", "size")
+    return positions.running_offsets(_stream_rows(spark, d), "rec_id", F.size("ids"), distinct=True).select("rec_id", "start", "size")
 
 
-def _block_sums(b: DataFrame) -> DataFrame:
+def _block_sums(b: DataFrame, *more: str) -> DataFrame:
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, v: a + v)
-    return b.select("block_id", F.size("y").cast("long").alias("n_y"), total("x").alias("sum_x"), total("y").alias("sum_y"), F.element_at("x", 1).alias("first_x"), F.element_at("y", -1).alias("last_y"))
+    return b.select("block_id", *more, F.size("y").cast("long").alias("n_y"), total("x").alias("sum_x"), total("y").alias("sum_y"), F.element_at("x", 1).alias("first_x"), F.element_at("y", -1).alias("last_y"))
 
 
 @query(f"WITH {_BLOCKS} SELECT * FROM b")
@@ -194,8 +197,17 @@ def pack_blocks(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_BLOCKS}, c AS (SELECT count(*) AS k FROM b) SELECT b.*, block_id // 8 AS batch_id FROM b, c WHERE block_id < k // 8 * 8")
 def eval_truncate(spark: SparkSession, d: str) -> DataFrame:
-    kept = blocks.full_batches(stage_table(blocks.pack_blocks(_stream(spark, d)), "blocks"))
-    return _block_sums(kept).join(kept.select("block_id", "batch_id"), "block_id")
+    return _block_sums(blocks.full_batches(stage_table(blocks.pack_blocks(_stream(spark, d)), "blocks")), "batch_id")
+
+
+@query(f"""WITH {_TOKENS}, n AS (SELECT count(*) AS n FROM p), c AS (SELECT (n - 1) // 1024 // 8 AS k FROM n),
+e AS (SELECT pos, pos // 8192 AS batch_id, tok, pos % 8192 AS place FROM p, c WHERE pos < k * 8192)
+SELECT batch_id, CAST(count(*) // 1024 AS BIGINT) AS n_rows, 1024::BIGINT AS width, CAST(sum(tok * (place + 1)) AS BIGINT) AS checksum FROM e GROUP BY batch_id""")
+def stacked_batches(spark: SparkSession, d: str) -> DataFrame:
+    """The full batches as matrices: rows, width, and a sum of all inputs weighted by their place."""
+    stacked = blocks.stack_batches(blocks.full_batches(stage_table(blocks.pack_blocks(_stream(spark, d)), "blocks")))
+    weighted = F.aggregate(F.transform(F.flatten("xs"), lambda t, i: t.cast("long") * (i + 1)), F.lit(0).cast("long"), lambda a, v: a + v)
+    return stacked.select("batch_id", F.size("xs").cast("long").alias("n_rows"), F.array_max(F.transform("xs", lambda r: F.size(r))).cast("long").alias("width"), weighted.alias("checksum"))
 
 
 @query(f"""WITH {_BLOCKS}, c AS (SELECT count(*) AS k FROM b),
@@ -214,24 +226,24 @@ def token_ppl_unigram(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_STREAM} SELECT rec_id, ntile(7) OVER (ORDER BY rec_id) - 1 AS shard FROM r")
 def contiguous_shards(spark: SparkSession, d: str) -> DataFrame:
-    return positions.contiguous_shards(stage_table(_stream_rows(spark, d).select("rec_id"), "keys"), "rec_id", 7)
+    return positions.contiguous_shards(stage_table(_stream_lengths(spark, d).select("rec_id"), "keys"), "rec_id", 7)
 
 
 @query(f"""WITH {_STREAM}, n AS (SELECT sum(len(ids)) AS n FROM r), g AS (SELECT unnest(range(480)) AS id)
 SELECT id // 12 AS step, id % 12 AS slot, CAST(CAST(('0x' || substr(md5('1337:' || (id // 12) || ':' || (id % 12)), 1, 12)) AS BIGINT) % (n - 1024) AS BIGINT) AS start FROM g, n""")
 def sample_starts(spark: SparkSession, d: str) -> DataFrame:
-    n = _stream_rows(spark, d).agg(F.sum(F.size("ids"))).first()[0]
+    n = _stream_lengths(spark, d).agg(F.sum("n")).first()[0]
     return blocks.sample_starts(spark, 40, 12, n)
 
 
-@query(f"""WITH {_TOKENS}, n AS (SELECT count(*) AS n FROM p), g AS (SELECT unnest(range(96)) AS id),
+@query(f"""WITH {_TOKENS}, n AS (SELECT count(*) AS n FROM p), g AS (SELECT unnest(range(480)) AS id),
 w AS (SELECT id // 12 AS step, id % 12 AS slot, CAST(CAST(('0x' || substr(md5('1337:' || (id // 12) || ':' || (id % 12)), 1, 12)) AS BIGINT) % (n - 1024) AS BIGINT) AS start FROM g, n)
 SELECT step, slot, start, CAST(sum(tok) FILTER (pos < start + 1024) AS BIGINT) AS sum_x, CAST(sum(tok) FILTER (pos > start) AS BIGINT) AS sum_y
 FROM w JOIN p ON pos >= start AND pos <= start + 1024 GROUP BY ALL""")
 def sample_windows(spark: SparkSession, d: str) -> DataFrame:
     placed = _stream(spark, d)
     n = placed.agg(F.max(F.col("start") + F.size("ids"))).first()[0]
-    got = blocks.windows_at(placed, blocks.sample_starts(spark, 8, 12, n))
+    got = blocks.windows_at(placed, blocks.sample_starts(spark, 40, 12, n))
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, v: a + v)
     return got.select("step", "slot", "start", total("x").alias("sum_x"), total("y").alias("sum_y"))
 
@@ -244,13 +256,10 @@ def next_token_pairs(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_STREAM} SELECT count(*) AS n_docs, CAST(sum(len(ids)) AS BIGINT) AS n_tokens, CAST(sum(list_sum(ids)) AS BIGINT) AS sum_ids FROM r")
 def token_file_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """The stream written to a binary token file and read back by byte ranges."""
-    import uuid
-
     tokenbin.register(spark)
     placed = _stream(spark, d)
-    tokens = placed.select(F.posexplode("ids").alias("i", "t"), "start").select((F.col("start") + F.col("i")).alias("pos"), F.col("t").cast("long").alias("token_id"))
     path = f"{scratch_root(spark)}/stream-{uuid.uuid4().hex[:8]}.bin"
-    tokens.write.format("tokenbin").option("dtype", tokenbin.dtype_for(bpe.END_OF_TEXT)).mode("overwrite").save(path)
+    placed.select("start", "ids").write.format("tokenbin").option("dtype", tokenbin.dtype_for(bpe.END_OF_TEXT)).mode("overwrite").save(path)
     back = spark.read.format("tokenbin").load(path).agg(F.count("*").alias("n_tokens"), F.sum("token_id").alias("sum_ids"))
     return placed.agg(F.count("*").alias("n_docs")).join(back)
 
@@ -290,9 +299,10 @@ def bpe_eot_blocks(spark: SparkSession, d: str) -> DataFrame:
     return _block_sums(blocks.pack_blocks(blocks.placed_stream(ids)))
 
 
-@query("SELECT rec_id, len(ids) + 1 AS len FROM (SELECT rec_id, any_value(ids) AS ids FROM general_purpose_prepare WHERE ids IS NOT NULL AND rec_id IS NOT NULL GROUP BY rec_id)")
+@query("SELECT rec_id, len(ids) + 1 AS len, 50256 AS last_id, ids[-1] AS before_last FROM (SELECT rec_id, any_value(ids) AS ids FROM general_purpose_prepare WHERE ids IS NOT NULL AND rec_id IS NOT NULL GROUP BY rec_id)")
 def append_end(spark: SparkSession, d: str) -> DataFrame:
-    rows = read_table(spark, d, "general_purpose_prepare").where("ids is not null and rec_id is not null").select("rec_id", F.size(bpe.append_end("ids")).cast("long").alias("len"))
+    rows = read_table(spark, d, "general_purpose_prepare").where("ids is not null and rec_id is not null").select("rec_id", bpe.append_end("ids").alias("ended"))
+    rows = rows.select("rec_id", F.size("ended").cast("long").alias("len"), F.element_at("ended", -1).alias("last_id"), F.get("ended", F.size("ended") - 2).alias("before_last"))
     return rows.dropDuplicates(["rec_id"])
 
 
@@ -372,7 +382,7 @@ def mfu_table(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT ckpt_id, CASE WHEN val_loss IS NULL THEN NULL ELSE printf('%08.4fval_loss_%s_%s.pt', val_loss, model_name, replace(coalesce(author, 'N/A'), ' ', '')) END AS file_name FROM checkpoint_registry""")
 def checkpoint_names(spark: SparkSession, d: str) -> DataFrame:
-    return runs.checkpoint_names(read_table(spark, d, "checkpoint_registry")).join(read_table(spark, d, "checkpoint_registry").select("ckpt_id", "val_loss"), "ckpt_id").select("ckpt_id", F.when(F.col("val_loss").isNotNull(), F.col("file_name")).alias("file_name"))
+    return runs.checkpoint_names(read_table(spark, d, "checkpoint_registry"))
 
 
 @query("""SELECT ckpt_id, run_id, row_number() OVER w AS place, row_number() OVER w <= 3 AS retained FROM checkpoint_registry WINDOW w AS (PARTITION BY run_id ORDER BY val_loss ASC NULLS LAST, path, ckpt_id)""")
@@ -386,25 +396,83 @@ def checkpoint_paths(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "checkpoint_registry").select("ckpt_id", parts.alias("p")).select("ckpt_id", F.col("p")[0].alias("folder"), F.col("p")[1].alias("file"))
 
 
-@query("SELECT CAST(6960768 AS BIGINT) AS total, CAST(6960768 AS BIGINT) AS trainable, CAST(50257 * 128 + 1024 * 128 + 2 * 12 * 128 * 128 AS BIGINT) AS decayed, CAST(2 * 13 * 128 + 256 AS BIGINT) AS not_decayed, false AS over_limit")
-def param_groups(spark: SparkSession, d: str) -> DataFrame:
-    rows = runs.decoder_parameters(50257, 128, 2, 1024)
-    return runs.parameter_groups(spark.createDataFrame(rows, "name string, shape array<bigint>, requires_grad boolean, tied_to string"))
+_CONFIGS = ((50257, 128, 2, 1024), (50257, 768, 12, 1024), (1000, 64, 1, 128), (65, 384, 6, 256))
 
 
-@query("SELECT run_id, format('{:,}', count(*) * 196608) AS tokens FROM loss_log GROUP BY run_id")
-def tokens_seen(spark: SparkSession, d: str) -> DataFrame:
-    per = runs.tokens_per_iteration(16, 1, 12, 1024)
-    return read_table(spark, d, "loss_log").groupBy("run_id").agg(scalars.thousands(F.count("*") * per).alias("tokens"))
+@query("""WITH c(vocab, width, layers, block) AS (VALUES """ + ", ".join(str(c) for c in _CONFIGS) + """),
+p AS (SELECT *, CAST(vocab * width + block * width + layers * 12 * width * width AS BIGINT) AS decayed, CAST(layers * 13 * width + 2 * width AS BIGINT) AS not_decayed FROM c)
+SELECT vocab, width, layers, block, decayed + not_decayed AS total, decayed + not_decayed AS trainable, decayed, not_decayed, decayed + not_decayed > 100000000 AS over_limit FROM p""")
+def param_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Parameters of decoders of several sizes, one of them over the limit."""
+    own = ("vocab", "width", "layers", "block")
+    rows = [(*c, *p) for c in _CONFIGS for p in runs.decoder_parameters(*c)]
+    table = spark.createDataFrame(rows, ", ".join(f"{k} int" for k in own) + ", name string, shape array<bigint>, requires_grad boolean, tied_to string")
+    return runs.parameter_groups(table, 100_000_000, *own)
 
 
-@query("SELECT i, array_to_string(range(i + 1, 16), ',') AS masked FROM (SELECT unnest(range(16)) AS i)")
+@query("SELECT run_id, count(DISTINCT iter) AS n_iters, format('{:,}', count(DISTINCT iter) * 196608) AS tokens FROM loss_log GROUP BY run_id")
+def tokens_seen(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens of a run's distinct iterations; a step logged for two splits, or twice, counts once."""
+    seen = runs.tokens_seen(read_table(spark, d, "loss_log"), runs.tokens_per_iteration(16, 1, 12, 1024))
+    return seen.select("run_id", "n_iters", scalars.thousands(F.col("tokens")).alias("tokens"))
+
+
+@query("""WITH g AS (SELECT unnest(range(0, 600001)) AS iter),
+l AS (SELECT *, CASE WHEN iter < 200 THEN 0.006e0 * (iter + 1) / 201e0 WHEN iter > 600000 THEN 6e-5 ELSE 6e-5 + (1 + cos(pi() * ((iter - 200) / 599800e0))) * ((0.006e0 - 6e-5) / 2) END AS a,
+    CASE WHEN iter < 1000 THEN 0.006e0 * (iter + 1) / 1001e0 WHEN iter > 300000 THEN 1e-5 ELSE 1e-5 + (1 + cos(pi() * ((iter - 1000) / 299000e0))) * ((0.006e0 - 1e-5) / 2) END AS b FROM g)
+SELECT iter // 1000 AS thousand, count(*) AS n_steps, min(iter) AS first_step, max(iter) AS last_step, count(*) FILTER (iter % 50 = 0) AS n_evaluations, count(*) FILTER (iter % 250 = 0 AND iter > 0) AS n_saves,
+    round(sum(a), 8) AS sum_lr, round(sum(b), 8) AS sum_short_lr, round(max(b), 10) AS max_short_lr FROM l GROUP BY 1""")
+def training_steps(spark: SparkSession, d: str) -> DataFrame:
+    """All 600,001 steps of a full run by thousands, under the schedule and under one whose floor comes earlier."""
+    steps = runs.training_steps(spark, 0.006).withColumn("short", scalars.learning_rate(F.col("iter"), 0.006, 1000, 300_000, 1e-5))
+    return steps.groupBy(F.floor(F.col("iter") / 1000).alias("thousand")).agg(
+        F.count("*").alias("n_steps"), F.min("iter").alias("first_step"), F.max("iter").alias("last_step"), F.count_if("evaluates").alias("n_evaluations"), F.count_if("saves").alias("n_saves"),
+        F.round(F.sum("lr"), 8).alias("sum_lr"), F.round(F.sum("short"), 8).alias("sum_short_lr"), F.round(F.max("short"), 10).alias("max_short_lr"),
+    )
+
+
+@query("""WITH s AS (SELECT run_id, iter, min(logged_at) AS seen FROM loss_log WHERE logged_at IS NOT NULL GROUP BY run_id, iter)
+SELECT run_id, iter, round((epoch_us(seen) - epoch_us(lag(seen) OVER w)) / 1e6, 6) AS seconds, round((epoch_us(seen) - epoch_us(first(seen) OVER w)) / 1e6, 6) AS elapsed FROM s WINDOW w AS (PARTITION BY run_id ORDER BY iter)""")
+def step_times(spark: SparkSession, d: str) -> DataFrame:
+    return runs.step_times(read_table(spark, d, "loss_log")).select("run_id", "iter", F.round("seconds", 6).alias("seconds"), F.round("elapsed", 6).alias("elapsed"))
+
+
+@query("""SELECT run_id, iter, split, CASE WHEN NOT isnan(loss) THEN round(loss, 9) END AS loss, lr, logged_at IS NOT NULL AS timed FROM loss_log
+UNION ALL SELECT run_id, 600000 AS iter, 'val' AS split, round(min(loss), 9) AS loss, NULL AS lr, true AS timed FROM loss_log WHERE split = 'val' AND NOT isnan(loss) GROUP BY run_id""")
+def metrics_append(spark: SparkSession, d: str) -> DataFrame:
+    """A metrics table after two appends: the log, then a last row of each run's best val loss."""
+    path = f"{scratch_root(spark)}/metrics-{uuid.uuid4().hex[:8]}"
+    log = read_table(spark, d, "loss_log")
+    runs.append_metrics(log.withColumn("logged_at", F.coalesce("logged_at", F.current_timestamp())), path)
+    best = log.where("split = 'val' and loss is not null and not isnan(loss)").groupBy("run_id").agg(F.min("loss").alias("loss"))
+    runs.append_metrics(best.select("run_id", F.lit(600_000).alias("iter"), F.lit("val").alias("split"), "loss"), path)
+    loss = F.when(~F.isnan("loss"), F.round("loss", 9))
+    return spark.read.parquet(path).select("run_id", "iter", "split", loss.alias("loss"), "lr", F.col("logged_at").isNotNull().alias("timed"))
+
+
+@query("""WITH r AS (SELECT ckpt_id, run_id, string_split(path, '/')[1] || '/' || printf('%08.4fval_loss_%s_%s.pt', val_loss, model_name, replace(coalesce(author, 'N/A'), ' ', '')) AS path, val_loss FROM checkpoint_registry WHERE val_loss IS NOT NULL)
+SELECT ckpt_id, run_id, path, round(val_loss, 9) AS val_loss, row_number() OVER (PARTITION BY run_id ORDER BY val_loss, path, ckpt_id) <= 3 AS retained FROM r""")
+def registry_append(spark: SparkSession, d: str) -> DataFrame:
+    """Checkpoints saved under the names their losses give, appended to a registry run by run, with what is retained."""
+    path = f"{scratch_root(spark)}/registry-{uuid.uuid4().hex[:8]}"
+    saved = read_table(spark, d, "checkpoint_registry").where("val_loss is not null")
+    named = saved.join(runs.checkpoint_names(saved), "ckpt_id").withColumn("path", F.concat_ws("/", scalars.folder_and_file(F.col("path"))[0], "file_name")).drop("file_name")
+    for odd in (0, 1):  # two savers, one after the other
+        runs.append_checkpoints(named.where(F.pmod("ckpt_id", F.lit(2)) == odd), path)
+    back = spark.read.parquet(path)
+    return runs.retention(back, 3, "run_id").join(back.select("ckpt_id", "path", F.round("val_loss", 9).alias("val_loss")), "ckpt_id").select("ckpt_id", "run_id", "path", "val_loss", "retained")
+
+
+@query("SELECT i, len(range(i + 1, 1024)) AS n_masked, CASE WHEN i < 1023 THEN i + 1 END AS first_masked, CASE WHEN i < 1023 THEN CAST(1023 AS BIGINT) END AS last_masked FROM (SELECT unnest(range(1024)) AS i)")
 def causal_mask(spark: SparkSession, d: str) -> DataFrame:
-    return blocks.causal_mask(spark, 16).withColumn("masked", F.array_join("masked", ","))
+    """The places each place of a block must not see: how many, the first and the last."""
+    return blocks.causal_mask(spark, blocks.BLOCK).select("i", F.size("masked").cast("long").alias("n_masked"), F.array_min("masked").alias("first_masked"), F.array_max("masked").alias("last_masked"))
 
 
-@query("""SELECT unnest(json_keys(j)) AS name FROM (SELECT '{"author":"a b","vocab_size":50257,"n_embed":128,"num_heads":4,"num_layers":2,"block_size":1024}'::JSON AS j)""")
-def config_keys(spark: SparkSession, d: str) -> DataFrame:
-    """Keys of an ordered config, in Spark's own JSON functions."""
-    text = '{"author":"a b","vocab_size":50257,"n_embed":128,"num_heads":4,"num_layers":2,"block_size":1024}'
-    return spark.range(1).select(F.explode(F.json_object_keys(F.lit(text))).alias("name"))
+@query("""WITH t AS (SELECT ckpt_id, '{"author":"' || coalesce(author, 'N/A') || '","vocab_size":' || (50000 + ckpt_id) || ',"path":"' || path || '","block_size":1024}' AS j FROM checkpoint_registry)
+SELECT ckpt_id, CAST(i AS BIGINT) AS place, json_keys(j)[i] AS name, json_extract_string(j, '$.' || json_keys(j)[i]) AS value FROM (SELECT ckpt_id, j, unnest(range(1, len(json_keys(j)) + 1)) AS i FROM t)""")
+def config_values(spark: SparkSession, d: str) -> DataFrame:
+    """Keys and values of JSON configs in the order they stand there, by Spark's own JSON functions."""
+    text = F.concat(F.lit('{"author":"'), F.coalesce("author", F.lit("N/A")), F.lit('","vocab_size":'), (F.col("ckpt_id") + 50000).cast("string"), F.lit(',"path":"'), "path", F.lit('","block_size":1024}'))
+    rows = read_table(spark, d, "checkpoint_registry").select("ckpt_id", text.alias("j")).select("ckpt_id", "j", F.posexplode(F.json_object_keys("j")).alias("at", "name"))
+    return rows.select("ckpt_id", (F.col("at") + 1).cast("long").alias("place"), "name", F.expr("get_json_object(j, concat('$.', name))").alias("value"))

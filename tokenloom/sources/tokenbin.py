@@ -1,8 +1,9 @@
 """Flat binary token files: headerless little-endian unsigned integers, with a manifest beside.
 
 `spark.read.format("tokenbin")` gives (pos, token_id) and reads byte ranges in parallel;
-`df.write.format("tokenbin")` takes (pos, token_id) and writes every token at its place, so
-tasks need not agree on an order. Folders must be shared by all executors.
+`df.write.format("tokenbin")` takes arrays (start, ids), or single tokens (pos, token_id), and
+writes every token at its place, so tasks need not agree on an order. Folders must be shared by
+all executors.
 """
 
 from __future__ import annotations
@@ -79,33 +80,47 @@ class _Reader(DataSourceReader):
 
 
 class _Writer(DataSourceArrowWriter):
-    def __init__(self, options: dict, overwrite: bool):
+    def __init__(self, options: dict, overwrite: bool, arrays: bool):
         self.path = _local(options["path"])
         self.dtype = options.get("dtype", "uint16")
         self.part = self.path + ".part"
+        self.arrays = arrays
         if self.dtype not in WIDTHS:
             raise ValueError(f"unknown token type {self.dtype}")
         if os.path.exists(self.path) and not overwrite:
             raise ValueError(f"{self.path} exists")
 
+    def _pieces(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens in the order of their places, and where stretches without a gap begin, in both."""
+        if self.arrays:
+            batch = batch.sort_by("start")
+            size = np.asarray(batch.column("ids").value_lengths().fill_null(0), np.int64)
+            ids, start = batch.column("ids").flatten(), np.asarray(batch.column("start"), np.int64)
+            some = size > 0
+            size, start = size[some], start[some]
+            cut = np.flatnonzero(np.append(True, start[1:] != (start + size)[:-1])) if len(start) else start
+            return ids.to_numpy(zero_copy_only=False), (np.cumsum(size) - size)[cut], start[cut]
+        pos = batch.column("pos").to_numpy(zero_copy_only=False)
+        order = np.argsort(pos, kind="stable")
+        cut = np.flatnonzero(np.append(True, np.diff(pos[order]) != 1)) if len(pos) else order
+        return batch.column("token_id").to_numpy(zero_copy_only=False)[order], cut, pos[order][cut]
+
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         width, top = WIDTHS[self.dtype], np.iinfo(self.dtype).max
         fd = os.open(self.part, os.O_WRONLY | os.O_CREAT, 0o644)
         n, last = 0, -1
         try:
             for batch in iterator:
-                pos = batch.column("pos").to_numpy(zero_copy_only=False)
-                ids = batch.column("token_id").to_numpy(zero_copy_only=False)
+                ids, cut, at = self._pieces(batch)
                 if len(ids) == 0:
                     continue
-                if ids.min() < 0 or ids.max() > top:
+                if ids.dtype.kind not in "iu" or ids.min() < 0 or ids.max() > top:
                     raise ValueError(f"a token id does not fit {self.dtype}")
-                order = np.argsort(pos, kind="stable")
-                pos, raw = pos[order], ids[order].astype(np.dtype(self.dtype).newbyteorder("<"))
-                cut = np.flatnonzero(np.append(True, np.diff(pos) != 1))
-                for a, b in zip(cut, np.append(cut[1:], len(pos))):
-                    os.pwrite(fd, raw[a:b].tobytes(), int(pos[a]) * width)
-                n, last = n + len(pos), max(last, int(pos[-1]))
+                raw = ids.astype(np.dtype(self.dtype).newbyteorder("<"))
+                for a, b, pos in zip(cut.tolist(), [*cut[1:].tolist(), len(raw)], at.tolist()):
+                    os.pwrite(fd, raw[a:b].tobytes(), pos * width)
+                    last = max(last, pos + b - a - 1)
+                n += len(raw)
         finally:
             os.close(fd)
         message = WriterCommitMessage()
@@ -140,7 +155,7 @@ class TokenBin(DataSource):
         return _Reader(self.options)
 
     def writer(self, schema: StructType, overwrite: bool) -> _Writer:
-        return _Writer(self.options, overwrite)
+        return _Writer(self.options, overwrite, "ids" in schema.names)
 
 
 def register(spark: SparkSession) -> None:
