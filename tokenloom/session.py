@@ -77,17 +77,19 @@ def shuffle_width(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 
 
+def scan_tasks(df: DataFrame) -> int:
+    """How many tasks a scan is cut into."""
+    return df._jdf.queryExecution().toRdd().getNumPartitions()
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Repartition a scan that gives fewer tasks than there are cores.
 
     A table of one small file with one row group is one task. Splitting it costs a shuffle of
     that file, so it is done only where the scan cannot fill the cores.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if df._jdf.queryExecution().toRdd().getNumPartitions() < min(cores, 4):
-        return df.repartition(cores)
-    return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if scan_tasks(df) < min(cores, 4) else df
 
 
 def on_disk_bytes(df: DataFrame) -> int:
