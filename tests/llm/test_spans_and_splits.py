@@ -2,7 +2,10 @@ import itertools
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings, strategies as st
 
 from tokenloom.llm import crosssplit, sharedspans
 
@@ -49,14 +52,54 @@ def span_docs():
     return docs
 
 
-@pytest.mark.parametrize("span, gram, block", [(30, 10, 20_000), (30, 10, 0), (30, 30, 3), (60, 7, 20_000)])
-def test_spans_match_brute_force(spark, span, gram, block):
+@pytest.mark.parametrize("span, gram, block, crowd, pack", [(30, 10, 20_000, 64, 10**6), (30, 10, 0, 64, 200), (30, 30, 3, 2, 10**6), (60, 7, 20_000, 1, 50), (30, 10, 20_000, 0, 100)])
+def test_spans_match_brute_force(spark, span, gram, block, crowd, pack):
     docs = span_docs()
     df = spark.createDataFrame([(d, t, 1, 2) for d, t in docs + docs[:5]], "doc_id long, text string, span_start int, tid int")
-    got = sharedspans.shared_spans(df, span, gram, block).collect()
+    got = sharedspans.shared_spans(df, span, gram, block, crowd, pack).collect()
     assert sorted((r.doc_id, r.span_start, r.span_end) for r in got) == sorted(brute_spans(docs, span))
 
 
+def other_text(rows, least):
+    """For each place of each text the longest stretch from there that stands in another."""
+    return [[max([n for n in range(least, len(t) - k + 1) if any(t[k : k + n] in u for j, u in enumerate(rows) if j != i)], default=0) for k in range(len(t))] for i, t in enumerate(rows)]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="abé🙂", min_size=1, max_size=40), min_size=1, max_size=5))
+def test_factors_are_greedy_and_longest(rows):
+    ref = sharedspans.Reference(pa.array(rows, pa.string()), np.arange(len(rows)), 4)
+    want, best = [], other_text(rows, 4)
+    for i, t in enumerate(rows):
+        k = 0
+        while k < len(t):
+            if best[i][k]:
+                want.append((i, k, k + best[i][k]))
+            k += best[i][k] or 1
+    row, begin, end = sharedspans.greedy_factors(ref)
+    assert [(r, b - ref.p.offs[r], e - ref.p.offs[r]) for r, b, e in zip(row.tolist(), begin.tolist(), end.tolist())] == want
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="ab", min_size=1, max_size=60), min_size=1, max_size=4))
+def test_factors_and_their_limits_give_every_shared_window(rows):
+    got = sharedspans._factor_block(np.arange(len(rows)), np.zeros(len(rows), np.int64), pa.array(rows, pa.string()), 12)
+    mine = {(t, k) for t, a, b in zip(*(c.to_pylist() for c in got.columns)) for k in range(a, b)}
+    best = other_text(rows, 12)
+    assert mine == {(i, k + j) for i, b in enumerate(best) for k, n in enumerate(b) if n for j in range(12)}
+
+
+def test_the_parse_decides_the_rows(spark, monkeypatch):
+    docs = pa.array(["xx" + "abcdefghijklmnop", "yy" + "abcdefghij", "zz" + "efghijklmnop"], pa.string())
+    block = lambda: {(t, a, b) for t, a, b in zip(*(c.to_pylist() for c in sharedspans._factor_block(np.arange(3), np.zeros(3, np.int64), docs, 12).columns))}
+    whole = block()
+    assert (0, 6, 18) in whole  # begins inside a factor of ten characters and is found across its end
+    monkeypatch.setattr(sharedspans, "windows_across", lambda *a: np.zeros(0, np.int64))
+    assert (0, 6, 18) not in block()
+    monkeypatch.setattr(sharedspans, "greedy_factors", lambda ref: (np.zeros(0, np.int64),) * 3)
+    assert not block() and (2, 2, 14) in whole
+
+
 def test_coverage_has_every_document(spark):
     docs = span_docs()
     df = spark.createDataFrame([(d, t) for d, t in docs], "doc_id long, text string")
