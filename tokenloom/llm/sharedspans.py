@@ -36,6 +36,9 @@ CROWD = 64
 CROWD_TOTAL = 4_000
 #: Anchors that a task packs before it hands them on.
 PACK = 1_000_000
+#: Most document ids that are sent to all tasks, so that the texts of other documents aren't
+#: shuffled for the join with what is wanted of them; with more, they are.
+SENT_IDS = 4_000_000
 _LOW = U64((1 << 28) - 1)
 
 
@@ -139,14 +142,14 @@ def _by_target(target: np.ndarray, targets: int, kind: int, *arrays: np.ndarray)
 
 
 def _rows_by_target(target: np.ndarray, targets: int, anchor: np.ndarray, context: np.ndarray, tid: np.ndarray, at: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """The same for anchor rows, 18 bytes each, texts numbered within a blob."""
+    """The same for anchor rows, 17 bytes each, texts numbered within a blob."""
     order = np.argsort(target, kind="stable")
     cut = _groups(target[order])
     for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
         own = order[a:b]
         names, place = np.unique(tid[own], return_inverse=True)
-        small = np.uint16 if len(names) <= 1 << 16 else np.uint32
-        yield int(target[own[0]]), _freeze(ROWS, *_narrow(anchor[own]), *_narrow(context[own]), names, place.astype(small), at[own].astype(np.int32), right[own].astype(np.uint16))
+        small = lambda x: x.astype(np.min_scalar_type(int(x.max())))
+        yield int(target[own[0]]), _freeze(ROWS, *_narrow(anchor[own]), *_narrow(context[own]), names, small(place), small(at[own]), small(right[own]))
 
 
 def _contexts(anchor: np.ndarray, context: np.ndarray, tid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -484,7 +487,7 @@ def shared_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM, block: int
     """
     spark = docs.sparkSession
     scan = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where((F.col("doc_id").isNotNull()) & (F.length("text") >= span))
-    targets = max(shuffle_width(spark), 4 * scan_tasks(scan))
+    targets = max(shuffle_width(spark), scan_tasks(scan))
     long = spread(scan)
     anchors = long.mapInArrow(_emit_anchors(span, gram, targets, crowd, pack), "target int, blob binary")
     found = stage_table(anchors.repartitionById(targets, F.col("target")).select("blob").mapInArrow(_settle(span, gram, block), _SETTLED), "settled")
@@ -496,7 +499,8 @@ def shared_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM, block: int
 
     asked = found.where(f"kind in ({ASKED}, {CROWDED})").groupBy("tid").agg(F.collect_list(F.struct("kind", "anchor", "start", "stop")).alias("wanted"))
     asked = stage_table(asked.join(one.select("tid", "doc_id"), "tid"), "asked")
-    # written, so that its size is known: the texts of other documents aren't shuffled
+    if asked.count() <= SENT_IDS:
+        long = long.join(F.broadcast(asked.select("doc_id")), "doc_id", "left_semi")
     bodies = stage_table(long.join(asked, "doc_id").select("tid", "text", "wanted").mapInArrow(_emit_contexts, "kind byte, anchor long, tid long, start int, body string"), "bodies")
     quiet = bodies.where(f"kind = {ASKED}").drop("kind")
     factors = quiet.repartition(shuffle_width(spark), "anchor").sortWithinPartitions("anchor").mapInArrow(_factor(span), "tid long, start long, stop long")
