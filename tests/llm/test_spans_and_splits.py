@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 
+from tokenloom.functions.spans import texts_of, words
 from tokenloom.llm import crosssplit, sharedspans
 
 LOW = {i: i + 32 for i in range(65, 91)}
@@ -157,12 +158,12 @@ def brute_overlaps(rows, pieces):
     return out
 
 
-@pytest.mark.parametrize("shard", [1_500_000, 400])
-def test_overlaps_match_brute_force(spark, shard):
+@pytest.mark.parametrize("shard, wave, held", [(1_500_000, 6_000_000, 4_000_000), (400, 6_000_000, 300), (400, 1500, 1)])
+def test_overlaps_match_brute_force(spark, shard, wave, held):
     rows, pieces = split_data()
     df = spark.createDataFrame([(*r, "s", 1) for r in rows + rows[:30]], "web_id long, split string, text string, ids array<int>, source string, train_id int")
     voc = spark.createDataFrame(pieces, "token_id int, piece string")
-    pairs = crosssplit.cross_split_overlaps(df, voc, shard_words=shard).cache()
+    pairs = crosssplit.cross_split_overlaps(df, voc, shard_words=shard, wave_words=wave, held_words=held).cache()
     want = brute_overlaps(rows, pieces)
     assert {(r.train_id, r.eval_id) for r in pairs.collect()} == want and pairs.count() == len(want) > 25
     assert all(r.covered_words <= r.eval_words and r.shared_runs <= r.runs for r in pairs.collect())
@@ -170,6 +171,43 @@ def test_overlaps_match_brute_force(spark, shard):
     assert sum(r.n_pairs for r in report) == len(want)
 
 
+def covered_by_hand(train, text):
+    have, w = runs(train)[0], re.findall("[a-z0-9]+", text.translate(LOW))
+    inside = {k + j for k in range(len(w) - 2) if tuple(w[k : k + 3]) in have for j in range(3)}
+    return len(inside), len(w)
+
+
+def test_coverage_is_that_of_merged_intervals(spark):
+    rows, _ = split_data()
+    text = {w: t for w, _, t, _ in rows}
+    df = spark.createDataFrame([r[:3] for r in rows], "web_id long, split string, text string")
+    pairs = crosssplit.cross_split_overlaps(df).collect()
+    assert len(pairs) > 25
+    for r in pairs:
+        a, b = runs(text[r.train_id])[0], runs(text[r.eval_id])[0]
+        assert (r.shared_runs, r.runs) == (len(a & b), len(a | b))
+        assert (r.covered_words, r.eval_words) == covered_by_hand(text[r.train_id], text[r.eval_id])
+
+
+def test_fifty_shards_read_the_training_records_once(spark, tmp_path):
+    rows = [(i, "val" if i % 2 else "train", " ".join(f"w{(i // 2 * 7 + k) % 997}" for k in range(40))) for i in range(200)]
+    spark.createDataFrame(rows, "web_id long, split string, text string").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    pairs = crosssplit.cross_split_overlaps(df, shard_words=80)
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Union" not in plan
+    got = {(r.train_id, r.eval_id) for r in pairs.collect()}
+    assert got == brute_overlaps([(*r, None) for r in rows], []) and len(got) >= 100
+
+
+def test_the_automaton_decides_the_pairs():
+    text = " ".join(f"w{k}" for k in range(40))
+    line = crosssplit.Line(np.array([1]), texts_of(pa.array([text])))
+    shard = crosssplit.Shard([7], [words(texts_of(pa.array([text + " more"]))).hash], 0.5)
+    assert [x.tolist() for x in line.overlaps(shard.automaton().iter, shard, 0.5)] == [[1], [7], [38], [39], [40], [41]]
+    assert not len(line.overlaps(lambda text: iter(()), shard, 0.5)[0])
+
+
 def test_no_evaluation_or_no_training_records(spark):
     df = spark.createDataFrame([(1, "train", "a " * 30)], "web_id long, split string, text string")
     assert crosssplit.cross_split_overlaps(df).count() == 0

@@ -2,13 +2,16 @@
 
 The evaluation records, lower-cased and cut into words, are dealt to shards of bounded size. A
 shard's passages, the runs of three words of its records, go into one Aho-Corasick automaton
-over words; every training record is scanned by it in one pass. The matches of a training
-record are merged per evaluation record into the part of its passages that was met, and pairs
-that can still reach the threshold are compared on their whole sets of runs.
-
-Two alike records have at least `threshold` of either's runs in common, so of an evaluation
-record only its rarest runs, a little over 1 - `threshold` of them, need be in the automaton:
-at least the surplus must be met by any alike training record. No pair is lost.
+over words. Every training record is scanned by the automata; a match is an interval of its words
+that equals an interval of evaluation words, verified by the passages' 64-bit hashes. The matches
+of a training record are merged per evaluation record into the intervals that are covered there,
+and the distinct passages met say whether the two are alike.
+
+Passages are of three words because likeness counts runs of three words wherever they stand: two
+records can be wholly alike without four successive words in common, so longer ones would lose pairs.
+A pair is counted out only once it has met `need` of the evaluation record's rarest passages, a
+little over 1 - `threshold` of them; any alike training record meets so many. No pair is lost, and
+a phrase that stands in most records makes no pairs.
 """
 
 from __future__ import annotations
@@ -23,13 +26,18 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.content import fill_content, joined_content, vocabulary
-from ..functions.spans import U64, Pieces, bounds, mix64, shingles, slices, texts_of, words
+from ..functions.spans import U64, Pieces, Texts, bounds, distinct_per_row, mix64, shingles, slices, texts_of, words
 from ..session import spread, stage_table
 
 RUN = 3
 MIN_WORDS = 20
-#: Words of evaluation records in one shard; its automaton takes some 150 MB in each worker.
+#: Words of evaluation records in one shard; its automaton takes some 250 MB in each worker.
 SHARD_WORDS = 1_500_000
+#: Words of evaluation records whose shards are sent to the workers at once, some 60 bytes each; the
+#: training records are read once for each such wave.
+WAVE_WORDS = 6_000_000
+#: Words of training records that a task holds while its shards' automata go over them.
+HELD_WORDS = 4_000_000
 
 
 def _codes(hashes: np.ndarray) -> np.ndarray:
@@ -44,73 +52,119 @@ def _pieces(lists: list[np.ndarray]) -> Pieces:
 
 
 class Shard:
-    """Evaluation texts with their runs, and which runs are looked for."""
+    """Evaluation texts, their distinct passages, and who has which."""
 
     def __init__(self, sigs: list[int], texts: list[np.ndarray], threshold: float):
-        self.sigs = sigs
+        self.sigs = np.array(sigs, np.int64)
         self.name = uuid.uuid4().hex
+        self.n_words = np.array([len(x) for x in texts], np.int64)
         w = _pieces(texts)
         at, h = shingles(w, RUN)
-        row = w.row[at]
-        self.cut = bounds(row, len(texts))
-        self.runs = h  # by place, for coverage
         code = _codes(w.hash).astype(U64)
         key = code[at] << U64(42) | code[at + 1] << U64(21) | code[at + 2]
-        # distinct runs of each text, the rarest of the shard first
-        _, inverse, common = np.unique(h, return_inverse=True, return_counts=True)
-        order = np.lexsort((h, common[inverse], row))
-        fresh = np.append(True, (h[order][1:] != h[order][:-1]) | (row[order][1:] != row[order][:-1])) if len(order) else np.zeros(0, bool)
-        order = order[fresh]
-        own = row[order]
-        self.size = np.bincount(own, minlength=len(texts))
-        spare = np.floor(self.size * (1 - threshold) + 1e-9).astype(np.int64)  # runs an alike record may lack
+        # passages by hash; two that are written alike in code points are one pattern
+        self.hash, first, passage, common = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+        self.pattern = np.unique(key[first])
+        # the passage at each word of each text
+        self.passage = passage
+        self.text_cut = bounds(w.row[at], len(texts))
+        # the distinct passages of each text, the rarest of the shard first, and owners of the rare ones
+        row = w.row[at]
+        pairs = np.unique(row.astype(np.int64) * max(len(self.hash), 1) + passage)
+        row, passage = pairs // max(len(self.hash), 1), pairs % max(len(self.hash), 1)
+        self.size = np.bincount(row, minlength=len(texts))
+        order = np.lexsort((self.hash[passage], common[passage], row))
+        row, passage = row[order], passage[order]
+        spare = np.floor(self.size * (1 - threshold) + 1e-9).astype(np.int64)  # passages an alike record may lack
         taken = np.minimum(spare + 1 + self.size // 8, self.size)
         self.need = taken - spare
-        rank = np.arange(len(order)) - bounds(own, len(texts))[own]
-        chosen = rank < taken[own]
-        key, own = key[order][chosen], own[chosen]
-        by = np.argsort(key, kind="stable")
-        self.keys, first = np.unique(key[by], return_index=True)
-        self.owners, self.owned = own[by], np.append(first, len(own))
-        self.n_words = np.array([len(x) for x in texts])
+        rare = np.arange(len(row)) - bounds(row, len(texts))[row] < taken[row]
+        by = np.argsort(passage[rare], kind="stable")
+        self.owner = row[rare][by]
+        self.owner_cut = np.searchsorted(passage[rare][by], np.arange(len(self.hash) + 1))
 
     def automaton(self) -> ahocorasick.Automaton:
         out = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         mask = U64((1 << 21) - 1)
-        points = np.stack([self.keys >> U64(42), self.keys >> U64(21) & mask, self.keys & mask], 1).astype("<u4")
+        points = np.stack([self.pattern >> U64(42), self.pattern >> U64(21) & mask, self.pattern & mask], 1).astype("<u4")
         text = points.tobytes().decode("utf-32-le")
-        for i in range(len(self.keys)):
-            out.add_word(text[3 * i : 3 * i + 3], i)
+        for i in range(len(self.pattern)):
+            out.add_word(text[RUN * i : RUN * (i + 1)], i)
         out.make_automaton()
         return out
 
-    def met(self, values: set[int]) -> list[int]:
-        """Texts of which so many passages were met that they can be alike."""
-        a, b = self.owned, self.owners
-        texts, count = np.unique(np.concatenate([b[a[v] : a[v + 1]] for v in values]), return_counts=True)
-        return texts[count >= self.need[texts]].tolist()
-
-    def compare(self, text: int, runs: np.ndarray) -> tuple[int, int]:
-        """Distinct runs shared with the sorted distinct `runs`, and words they cover."""
-        mine = self.runs[self.cut[text] : self.cut[text + 1]]
-        there = runs[np.minimum(np.searchsorted(runs, mine), len(runs) - 1)] == mine
-        shared = len(np.unique(mine[there]))
-        edge = np.zeros(len(mine) + RUN, np.int64)
-        at = np.flatnonzero(there)
-        np.add.at(edge, at, 1)
-        np.add.at(edge, at + RUN, -1)
-        return shared, int((np.cumsum(edge) > 0).sum())
-
-
-_BUILT: dict[str, ahocorasick.Automaton] = {}
-
-
-def _automaton(shard: Shard) -> ahocorasick.Automaton:
-    """The shard's automaton; a worker keeps the last one it built."""
-    if shard.name not in _BUILT:
-        _BUILT.clear()
-        _BUILT[shard.name] = shard.automaton()
-    return _BUILT[shard.name]
+    def verified(self, h: np.ndarray) -> np.ndarray:
+        """The passage of each match by the hash of its words, -1 where they only look like one."""
+        k = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
+        return np.where(self.hash[k] == h, k, -1)
+
+
+def _spread_out(cut: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Entries of each of the groups: which of `group` an entry is for, and its place."""
+    size = cut[group + 1] - cut[group]
+    entry = np.repeat(np.arange(len(group)), size)
+    return entry, np.arange(len(entry)) - np.repeat(np.cumsum(size) - size, size) + cut[group][entry]
+
+
+def _covered(pair: np.ndarray, start: np.ndarray, n: int) -> np.ndarray:
+    """How many words the intervals [start, start + `RUN`) of each pair cover once merged."""
+    order = np.lexsort((start, pair))
+    pair, start = pair[order], start[order]
+    gap = np.append(start[1:] - start[:-1], RUN)
+    gap[np.append(pair[1:] != pair[:-1], True)] = RUN
+    return np.bincount(pair, np.minimum(gap, RUN), n).astype(np.int64)
+
+
+class Line:
+    """Training records as code points of their words, with the passages at each word."""
+
+    def __init__(self, ids: np.ndarray, part: Texts):
+        w = words(part)
+        cut = bounds(w.row, len(part.valid))
+        keep = np.flatnonzero(np.diff(cut) >= MIN_WORDS)
+        self.ids = ids[keep]
+        mine = np.isin(w.row, keep)
+        row, h = np.searchsorted(keep, w.row[mine]), w.hash[mine]
+        self.words = len(h)
+        at, self.run = shingles(Pieces(row, row, row, h), RUN)
+        self.at = at
+        self.row = row[at]
+        # a lone separator keeps matches inside their record
+        code = np.insert(_codes(h), bounds(row, len(keep))[1:], 1) if len(keep) else np.zeros(0, np.uint32)
+        self.text = code.astype("<u4").tobytes().decode("utf-32-le")
+        self.runs = np.bincount(distinct_per_row(self.row, self.run)[0], minlength=len(keep))
+
+    def matches(self, find, shard: Shard) -> tuple[np.ndarray, np.ndarray]:
+        """(record, passage) of every verified match of the shard's automaton."""
+        first = np.fromiter((end for end, _ in find(self.text)), np.int64) - (RUN - 1)  # in the text, which has one separator more for each record before
+        places = self.at + self.row
+        k = np.searchsorted(places, first)
+        passage = shard.verified(self.run[k]) if len(k) else np.zeros(0, np.int64)
+        good = passage >= 0
+        return self.row[k[good]], passage[good]
+
+    def overlaps(self, find, shard: Shard, threshold: float) -> list[np.ndarray]:
+        """(train_id, sig, shared_runs, runs, covered_words, eval_words) of the alike pairs."""
+        row, passage = self.matches(find, shard)
+        n, many = len(shard.size), len(shard.hash)
+        met_there = np.unique(row * many + passage)  # distinct passages of each record
+        row, passage = met_there // many, met_there % many
+        entry, place = _spread_out(shard.owner_cut, passage)
+        pair, met = np.unique(row[entry] * n + shard.owner[place], return_counts=True)
+        pair = pair[met >= shard.need[pair % n]] if len(pair) else pair
+        if not len(pair):
+            return [np.zeros(0, np.int64)] * 6
+        record, text = pair // n, pair % n
+        # the intervals of the pairs' evaluation texts that were met, merged
+        entry, place = _spread_out(shard.text_cut, text)
+        key = record[entry] * many + shard.passage[place]
+        there = met_there[np.minimum(np.searchsorted(met_there, key), len(met_there) - 1)] == key
+        entry, place = entry[there], place[there]
+        covered = _covered(entry, place - shard.text_cut[text[entry]], len(pair))
+        shared = np.bincount(np.unique(entry * many + shard.passage[place]) // many, minlength=len(pair))
+        either = self.runs[record] + shard.size[text] - shared
+        alike = shared >= threshold * either
+        return [x[alike] for x in (self.ids[record], shard.sigs[text], shared, either, covered, shard.n_words[text])]
 
 
 def _evaluation(pieces: Broadcast | None):
@@ -129,35 +183,45 @@ def _evaluation(pieces: Broadcast | None):
     return emit
 
 
-def _scan(shard: Broadcast, pieces: Broadcast | None, threshold: float):
+_BUILT: dict[str, ahocorasick.Automaton] = {}
+
+
+def _automaton(shard: Shard) -> ahocorasick.Automaton:
+    """The shard's automaton; a worker keeps the last one it built."""
+    if shard.name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[shard.name] = shard.automaton()
+    return _BUILT[shard.name]
+
+
+_FOUND = "train_id long, sig long, shared_runs long, runs long, covered_words long, eval_words long"
+
+
+def _scan(wave: list[Broadcast], pieces: Broadcast | None, threshold: float, held_words: int):
+    """Alike pairs of training records and the shards of a wave. A task reads its records once and
+    holds so many of them that building each shard's automaton pays."""
+    names = [c.split(" ")[0] for c in _FOUND.split(", ")]
+
+    def over(lines: list[Line]) -> Iterator[pa.RecordBatch]:
+        for shard in wave:
+            index = shard.value
+            if len(index.pattern):
+                find = _automaton(index).iter
+                for line in lines:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in line.overlaps(find, index, threshold)], names)
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shard.value
-        if not len(index.keys):  # nothing to look for
-            return
-        find = _automaton(index).iter
+        lines: list[Line] = []
         for batch in batches:
             column = fill_content(batch.column("text"), batch.column("ids"), pieces.value) if pieces else batch.column("text")
-            keys = batch.column("web_id").to_pylist()
-            out: list[tuple] = []
+            ids = batch.column("web_id").to_numpy()
             for i, j, part in slices(texts_of(column)):
-                w = words(part)
-                cut = bounds(w.row, j - i)
-                line = _codes(w.hash).astype("<u4").tobytes().decode("utf-32-le")
-                at, h = shingles(w, RUN)
-                of = bounds(w.row[at], j - i)
-                for r in np.flatnonzero(np.diff(cut) >= MIN_WORDS).tolist():
-                    values = {v for _, v in find(line[cut[r] : cut[r + 1]])}
-                    texts = index.met(values) if values else ()
-                    if not texts:
-                        continue
-                    runs = np.unique(h[of[r] : of[r + 1]])
-                    for t in texts:
-                        shared, covered = index.compare(t, runs)
-                        either = len(runs) + int(index.size[t]) - shared
-                        if shared >= threshold * either:
-                            out.append((keys[i + r], index.sigs[t], shared, either, covered, int(index.n_words[t])))
-            cols = list(zip(*out)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["train_id", "sig", "shared_runs", "runs", "covered_words", "eval_words"])
+                lines.append(Line(ids[i:j], part))
+                if sum(x.words for x in lines) >= held_words:
+                    yield from over(lines)
+                    lines = []
+        if lines:
+            yield from over(lines)
 
     return scan
 
@@ -169,6 +233,8 @@ def cross_split_overlaps(
     evaluation: tuple[str, ...] = ("val", "test"),
     threshold: float = 0.5,
     shard_words: int = SHARD_WORDS,
+    wave_words: int = WAVE_WORDS,
+    held_words: int = HELD_WORDS,
 ) -> DataFrame:
     """(train_id, eval_id, shared_runs, runs, covered_words, eval_words), one row per alike pair of
     a training and an evaluation record.
@@ -180,7 +246,8 @@ def cross_split_overlaps(
     id or of another or null split give nothing; rows of one web_id count once. Evaluation records
     of equal words are looked for once and reported each.
 
-    The training records are read once per shard of `shard_words` words of evaluation text.
+    The training records are read once per `wave_words` words of evaluation text, whatever the
+    number of shards of `shard_words` in it; each shard's automaton goes over all of them.
     """
     spark = records.sparkSession
     rows = records.select(F.col("web_id").cast("long").alias("web_id"), "split", "text", *(["ids"] if vocab is not None else [])).where("web_id is not null")
@@ -194,13 +261,17 @@ def cross_split_overlaps(
     held = spread(wanted).mapInArrow(_evaluation(pieces), "web_id long, sig long, n_words int, words binary").dropDuplicates(["web_id"])
     held = stage_table(held, "evaluation")
     train = spread(rows.where("split = 'train'").select(*columns))
-    total = held.dropDuplicates(["sig", "n_words"]).agg(F.sum("n_words")).first()[0] or 0
-    shards = -(-total // shard_words) or 1
+    once = held.groupBy("sig", "n_words").agg(F.first("words").alias("words"))
+    total = held.select("sig", "n_words").distinct().agg(F.sum("n_words")).first()[0] or 0
+    waves = -(-total // wave_words) or 1
+    shards = -(-total // (waves * shard_words)) or 1
+    number = F.pmod(F.xxhash64("sig", "n_words"), F.lit(waves * shards))
+    once = stage_table(once.withColumn("shard", number), "shards") if waves > 1 else once.withColumn("shard", number)
     found = None
-    for k in range(shards):
-        texts = held.where(F.pmod(F.xxhash64("sig", "n_words"), F.lit(shards)) == k).groupBy("sig", "n_words").agg(F.first("words").alias("words")).orderBy("sig", "n_words").toPandas()
-        shard = spark.sparkContext.broadcast(Shard(texts["sig"].tolist(), [np.frombuffer(x, U64) for x in texts["words"]], threshold))
-        part = train.mapInArrow(_scan(shard, pieces, threshold), "train_id long, sig long, shared_runs long, runs long, covered_words long, eval_words long")
+    for k in range(waves):
+        texts = once.where(F.floor(F.col("shard") / shards) == k).orderBy("shard", "sig", "n_words").toPandas()  # a wave of bounded size
+        wave = [spark.sparkContext.broadcast(Shard(t["sig"].tolist(), [np.frombuffer(x, U64) for x in t["words"]], threshold)) for _, t in texts.groupby("shard")]
+        part = train.mapInArrow(_scan(wave, pieces, threshold, held_words), _FOUND)
         found = part if found is None else found.unionByName(part)
     own = held.select("sig", F.col("n_words").cast("long").alias("eval_words"), F.col("web_id").alias("eval_id"))
     pairs = found.dropDuplicates(["train_id", "sig", "eval_words"]).join(own, ["sig", "eval_words"])
