@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import numpy as np
@@ -71,19 +72,55 @@ def test_plan_uses_each_piece_once_and_no_container_overflows(seed):
 def test_plan_limits():
     assert packing.plan_packing({}, 10) == []
     assert sum(p.times for p in packing.plan_packing({6: 5}, 10)) == 5
-    assert packing.plan_packing({10: 3}, 10) == [packing.Pattern((10,), 3)]
+    assert used(packing.plan_packing({10: 3}, 10)) == {10: 3} and {p.sizes for p in packing.plan_packing({10: 3}, 10)} == {(10,)}
     with pytest.raises(ValueError):
         packing.plan_packing({11: 1}, 10)
 
 
+def test_fillings_fill_the_window():
+    rng = np.random.default_rng(1)
+    lengths = np.unique(rng.integers(1, 129, 40))
+    value = rng.random(129)
+    columns = packing.fillings(value, lengths, 128, 5)
+    total = columns.sum(1)
+    assert ((total <= 128) & (total >= 126)).all() and len(np.unique(columns, axis=0)) == len(columns)
+    assert np.isin(columns[columns > 0], lengths).all() and {2, 3, 4, 5} <= set((columns > 0).sum(1))
+    best = {}  # of each number of lengths the filling worth most is found for each first one
+    for k in (2, 3):
+        for c in itertools.combinations_with_replacement(lengths.tolist(), k):
+            if sum(c) == 128:
+                for a in set(c):
+                    best[k, a] = max(best.get((k, a), 0), sum(value[list(c)]))
+    got = {}
+    for c in columns:
+        for a in set(c[c > 0].tolist()):
+            got[(c > 0).sum(), a] = max(got.get(((c > 0).sum(), a), 0), value[c[c > 0]].sum())
+    assert best and all(got[key] == pytest.approx(v, rel=1e-5) for key, v in best.items())
+
+
 def test_least_squares_finds_an_exact_solution():
-    columns = packing.fillings(np.arange(1, 13), 12)
-    assert (columns.sum(1) == 12).all() and len({tuple(c) for c in columns}) == len(columns)
+    columns = packing.fillings(np.ones(13), np.arange(1, 13), 12, 4)
     x = np.random.default_rng(1).integers(0, 9, len(columns)).astype(float)
     target = np.bincount(columns.ravel(), ((columns > 0) * x[:, None]).ravel(), 13)
-    got = packing.non_negative_least_squares(columns, target, 2000)
+    got, left = packing.non_negative_least_squares(columns, target, steps=5000, tol=1e-9)
     assert (got >= 0).all()
     assert np.bincount(columns.ravel(), ((columns > 0) * got[:, None]).ravel(), 13) == pytest.approx(target, abs=1e-3)
+    assert left == pytest.approx(np.zeros(13), abs=1e-3)
+
+
+def test_least_squares_places_most_pieces(monkeypatch):
+    rng = np.random.default_rng(4)
+    sizes = np.clip(rng.lognormal(np.log(150), 0.9, 20_000).astype(int), 1, 1024)
+    histogram = {int(s): int(n) for s, n in zip(*np.unique(sizes, return_counts=True))}
+    left_over = []
+    greedy = packing._greedy
+    monkeypatch.setattr(packing, "_greedy", lambda left, cap: left_over.append(int(left.sum())) or greedy(left, cap))
+    plan = packing.plan_packing(histogram)
+    fewest = -(-sum(s * n for s, n in histogram.items()) // 1024)
+    assert used(plan) == histogram and sum(p.times for p in plan) <= fewest * 1.002 + 1
+    assert max(left_over) < 0.5 * len(sizes) and min(left_over) < 0.2 * len(sizes)
+    monkeypatch.setattr(packing, "non_negative_least_squares", lambda columns, target, *a, **k: (np.zeros(len(columns)), target))
+    assert packing.plan_packing(histogram) != plan and left_over[-1] == len(sizes)
 
 
 @pytest.mark.parametrize("bucket", [1_000_000, 50])
