@@ -25,16 +25,22 @@ LABELLED_ROWS = 20_000
 #: common words among them that running prose has at least.
 REACH, DENSITY = 8, 0.2
 
-# fixed values: common English words
+# fixed values: the published English stop words of the Snowball stemmer, without contractions
 COMMON = (
-    "a about after all also an and any are as at be because been before but by can could did do each every for from had has have he her his i if in into is it its "
-    "just last like many more most my neither never no nobody nor not of off on once one only or other others our out over she so some than that the their them then "
-    "there these they this to too twice under until up was we were what when where which while who whom will with without would you your"
+    "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs "
+    "themselves what which who whom this that these those am is are was were be been being have has had having do does did doing would should could ought "
+    "a an the and but if or because as until while of at by for with about against between into through during before after above below to from up down in "
+    "out on off over under again further then once here there when where why how all any both each few more most other some such no nor not only own same so "
+    "than too very"
 ).split()
 
 STATS = ("n_chars", "n_words", "mean_word_len", "symbol_share", "digit_share", "punct_line_share", "common_share", "nonprose_share")
 #: What the mixture sees, in this order.
-FEATURES = ("log_words", "mean_word_len", "symbol_share", "digit_share", "punct_line_share", "common_share", "nonprose_share")
+FEATURES = ("log_words", "mean_word_len", "symbol_share", "digit_share", "punct_line_share", "common_share", "mostly_nonprose")
+#: The statistics these are made of.
+RAW = ("n_words", *FEATURES[1:-1], "nonprose_share")
+#: How steeply `mostly_nonprose` turns from -1 to 1 where half of a text is outside running prose.
+STEEP = 3.0
 
 _CLASS = np.zeros(256, np.uint8)  # 1 letter, 2 digit, 3 white space, 4 other ASCII, 5 beyond ASCII
 _CLASS[:128] = 4
@@ -49,24 +55,32 @@ def _common_hashes() -> np.ndarray:
     return np.sort(words(texts_of(pa.array(COMMON))).hash)
 
 
-def _is_common(t: Texts, w: Pieces, known: np.ndarray) -> np.ndarray:
-    """Common words; a word of three letters or more that repeats one of the three before it
-    counts too, so that prose that stammers stays prose. A lone letter must stand between spaces."""
+def _is_common(w: Pieces, known: np.ndarray) -> np.ndarray:
     if not len(w.row):
         return np.zeros(0, bool)
-    common = known[np.minimum(np.searchsorted(known, w.hash), len(known) - 1)] == w.hash
+    return known[np.minimum(np.searchsorted(known, w.hash), len(known) - 1)] == w.hash
+
+
+def _is_running(t: Texts, w: Pieces, common: np.ndarray) -> np.ndarray:
+    """Words that speak for running prose: common ones, but a lone letter only between spaces, and none
+    that a full stop and a number follow ("No. 7"); and a word of three letters or more that repeats
+    one of the three before it, so that prose that stammers stays prose."""
+    running = common.copy()
+    if not len(w.row):
+        return running
     size = w.end - w.start
     lone = np.flatnonzero(common & (size == 1))
     last = len(t.buf) - 1
     free = ((w.start[lone] == t.offs[w.row[lone]]) | (_CLASS[t.buf[np.maximum(w.start[lone] - 1, 0)]] == 3)) & (
         (w.end[lone] == t.offs[w.row[lone] + 1]) | (_CLASS[t.buf[np.minimum(w.end[lone], last)]] == 3)
     )
-    common[lone[~free]] = False
+    running[lone[~free]] = False
+    numbered = (w.row[1:] == w.row[:-1]) & (t.buf[w.end[:-1]] == 46) & (_CLASS[t.buf[w.start[1:]]] == 2)
+    running[:-1][numbered] = False
     lettered = (size >= 3) & (_CLASS[t.buf[w.start]] == 1)
     for back in (1, 2, 3):
-        same = (w.hash[back:] == w.hash[:-back]) & (w.row[back:] == w.row[:-back]) & lettered[back:]
-        common[back:] |= same
-    return common
+        running[back:] |= (w.hash[back:] == w.hash[:-back]) & (w.row[back:] == w.row[:-back]) & lettered[back:]
+    return running
 
 
 def _first_places(w: Pieces) -> np.ndarray:
@@ -99,10 +113,10 @@ def text_statistics(t: Texts, known: np.ndarray) -> dict[str, np.ndarray]:
     w = words(t)
     count = w.counts(n)
     width = w.end - w.start
-    common = _is_common(t, w, known)
+    common = _is_common(w, known)
 
     # running prose: enough common words within reach, in the same text
-    upto = np.concatenate([[0], np.cumsum(common)])
+    upto = np.concatenate([[0], np.cumsum(_is_running(t, w, common))])
     begin = bounds(w.row, n)
     at = np.arange(len(w.row))
     lo, hi = np.maximum(at - REACH, begin[w.row]), np.minimum(at + REACH + 1, begin[w.row + 1])
@@ -148,7 +162,8 @@ def quality_stats(records: DataFrame) -> DataFrame:
     """(rec_id, n_chars, n_words, mean_word_len, symbol_share, digit_share, punct_line_share,
     common_share, nonprose_share) of `records` (rec_id, text).
 
-    Shares are of code points, lines or words; `nonprose_share` is of bytes; runs of words that
+    Shares are of code points, lines that are not blank or words; symbols are what is no ASCII letter, digit or
+    white space; `nonprose_share` is of bytes; runs of words that
     repeat earlier ones count as what they were there, if common words are near. A null text gives nulls, an empty one zeros. One
     row per rec_id; rows of a null rec_id are left out; other columns are ignored.
     """
@@ -184,13 +199,15 @@ class Mixture:
 
 
 def _features(batch: pa.RecordBatch, centre: np.ndarray, scale: np.ndarray) -> np.ndarray:
-    cols = [np.log1p(np.asarray(batch.column("n_words"), float)) if f == "log_words" else np.asarray(batch.column(f), float) for f in FEATURES]
+    column = lambda c: np.asarray(batch.column(c), float)
+    cols = [np.log1p(column("n_words")) if f == "log_words" else np.tanh(STEEP * (column("nonprose_share") - 0.5)) if f == "mostly_nonprose" else column(f) for f in FEATURES]
     return np.clip((np.stack(cols, 1) - centre) / scale, -6, 6)
 
 
 def standardization(stats: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Mean and deviation of each feature over all records that have a text."""
-    col = {f: F.log1p("n_words") if f == "log_words" else F.col(f) for f in FEATURES}
+    made = {"log_words": F.log1p("n_words"), "mostly_nonprose": F.tanh(STEEP * (F.col("nonprose_share") - 0.5))}
+    col = {f: made.get(f, F.col(f)) for f in FEATURES}
     row = stats.where("n_words is not null").agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(col.values())], *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(col.values())]).first()
     k = len(FEATURES)
     centre = np.array([row[i] or 0.0 for i in range(k)])
@@ -220,16 +237,15 @@ def start_mixture(x: np.ndarray, label: np.ndarray, per_class: int = 4) -> Mixtu
     return Mixture(np.full(k, 1 / k), mean, np.stack([np.eye(d) * 0.3] * k))
 
 
-def fit_mixture(stats: DataFrame, mixture: Mixture, centre: np.ndarray, scale: np.ndarray, steps: int = 15, tol: float = 1e-3) -> Mixture:
-    """Expectation-maximization over all records of `stats` that have a text.
+def fit_mixture(stats: DataFrame, mixture: Mixture, centre: np.ndarray, scale: np.ndarray, steps: int = 100, tol: float = 1e-3) -> Mixture:
+    """Expectation-maximization over all records of `stats` that have a text, until a step raises the
+    mean log likelihood by less than `tol`, or for `steps`.
 
-    Each step is one pass: tasks reduce their rows to the components' sums, at most 256 of
-    which reach the driver, in the order of their partitions.
+    Each step is one pass: tasks reduce their rows to the components' sums, which are added up
+    entry by entry, as decimals and so in any order alike; one row for each entry reaches the driver.
     """
     k, d = mixture.mean.shape
-    rows = stats.where("n_words is not null").select("n_words", *FEATURES[1:])
-    if rows.rdd.getNumPartitions() > 256:
-        rows = rows.coalesce(256)
+    rows = stats.where("n_words is not null").select(*RAW)
     before = -np.inf
     for _ in range(steps):
         prepared = mixture.prepared()
@@ -246,17 +262,16 @@ def fit_mixture(stats: DataFrame, mixture: Mixture, centre: np.ndarray, scale: n
                     second[i] += (x * r[:, i : i + 1]).T @ x
                 like += float(ll.sum())
                 n += len(x)
-            flat = np.concatenate([total.ravel(), second.ravel(), [like, n]])
-            yield pa.RecordBatch.from_arrays([pa.array([flat.tolist()], pa.list_(pa.float64()))], ["s"])
+            if n:
+                flat = np.concatenate([total.ravel(), second.ravel(), [like, n]])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat)], ["entry", "s"])
 
-        parts = rows.mapInArrow(sums, "s array<double>").withColumn("p", F.spark_partition_id()).collect()
+        parts = rows.mapInArrow(sums, "entry int, s double").groupBy("entry").agg(F.sum(F.col("s").cast("decimal(38,9)")).cast("double").alias("s")).collect()
         if not parts:
             return mixture
-        flat = np.sum([r["s"] for r in sorted(parts, key=lambda r: r["p"])], axis=0)
+        flat = np.array([r["s"] for r in sorted(parts)])
         total, second = flat[: k * (1 + d)].reshape(k, 1 + d), flat[k * (1 + d) : -2].reshape(k, d, d)
         like, n = flat[-2], flat[-1]
-        if n == 0:
-            return mixture
         held = np.maximum(total[:, 0], 1e-9)
         mean = total[:, 1:] / held[:, None]
         cov = second / held[:, None, None] - mean[:, :, None] * mean[:, None, :]
@@ -269,14 +284,13 @@ def fit_mixture(stats: DataFrame, mixture: Mixture, centre: np.ndarray, scale: n
 
 
 def name_components(mixture: Mixture, x: np.ndarray, label: np.ndarray) -> list[str]:
-    """The class whose inspected examples, each class weighing alike, a component holds most of.
-
-    Weighing is tempered by the square root so that a few wrong labels do not name a component.
-    """
+    """The class whose inspected examples a component holds most of, each class weighing by the square
+    root of its examples, so that neither many examples of prose nor a few wrong labels name a
+    component; the class of the example nearest to its mean where it holds none."""
     r, _ = Mixture.posterior(x, mixture.prepared())
     votes = np.stack([r[label == c].sum(0) / np.sqrt(max((label == c).sum(), 1)) for c in CLASSES])
     nearest = np.array([CLASSES.index(label[int(((x - m) ** 2).sum(1).argmin())]) for m in mixture.mean])
-    return [CLASSES[int(v.argmax())] if v.sum() > 1e-3 else CLASSES[int(near)] for v, near in zip(votes.T, nearest)]
+    return [CLASSES[int(v.argmax())] if v.sum() > 0.02 else CLASSES[int(near)] for v, near in zip(votes.T, nearest)]
 
 
 def classify(records: DataFrame, labels: DataFrame, bound: int = LABELLED_ROWS) -> DataFrame:
@@ -294,7 +308,7 @@ def classify(records: DataFrame, labels: DataFrame, bound: int = LABELLED_ROWS)
     out = "rec_id long, " + ", ".join(f"{c} {t}" for c, t in stats.dtypes if c != "rec_id") + ", kind string, nonprose_odds double"
     if not len(seen):
         return stats.selectExpr("*", "cast(null as string) kind", "cast(null as double) nonprose_odds")
-    x = _features(pa.RecordBatch.from_pandas(pd.DataFrame(seen[["n_words", *FEATURES[1:]]])), centre, scale)
+    x = _features(pa.RecordBatch.from_pandas(pd.DataFrame(seen[list(RAW)])), centre, scale)
     label = seen["label"].to_numpy()
     mixture = fit_mixture(stats, start_mixture(x, label), centre, scale)
     names = name_components(mixture, x, label)

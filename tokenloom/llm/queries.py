@@ -39,13 +39,18 @@ def _repetition(spark: SparkSession, d: str) -> tuple[DataFrame, list[repetition
 
 
 def p2_flagged(spark: SparkSession, d: str) -> DataFrame:
-    """Every record's shares and whether one reaches its stratum's cutoff."""
-    return repetition.flag_repetition(*_repetition(spark, d))
+    """Every record's shares, which of them reach their stratum's cutoffs, and whether it is a case by definition."""
+    return repetition.flag_repetition(*_repetition(spark, d)).withColumn("is_case", repetition.is_case())
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    """Flagged records that the definition confirms; no cutoff exceeds the definition's share."""
-    return p2_flagged(spark, d).where(F.col("flagged") & repetition.is_case()).select("rec_id")
+    """Records whose share of repeated words reaches the cutoff chosen for their source."""
+    return p2_flagged(spark, d).where("flag_rep_share").select("rec_id")
+
+
+def p2_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Words, repeated words and their share of every record with a text."""
+    return repetition.repetition_stats(read_table(spark, d, "general_purpose_prepare")).where("n_words is not null").select("rec_id", "n_words", "n_repeated", F.round("rep_share", 9).alias("rep_share"))
 
 
 def p2_cutoffs(spark: SparkSession, d: str) -> DataFrame:
@@ -54,7 +59,8 @@ def p2_cutoffs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_stats(spark: SparkSession, d: str) -> DataFrame:
-    return naturalness.quality_stats(read_table(spark, d, "general_purpose_prepare"))
+    stats = naturalness.quality_stats(read_table(spark, d, "general_purpose_prepare"))
+    return stats.select("rec_id", *[F.round(k, 9).alias(k) if t == "double" else F.col(k).cast("long").alias(k) for k, t in stats.dtypes if k not in ("rec_id", "nonprose_share")])
 
 
 def p3_kinds(spark: SparkSession, d: str) -> DataFrame:
@@ -62,9 +68,9 @@ def p3_kinds(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    """Records the mixture doesn't rule out as not prose, with more than half of their text outside running prose."""
-    kinds = p3_kinds(spark, d)
-    return kinds.where((F.col("n_chars") >= naturalness.MIN_CHARS) & (F.col("nonprose_odds") >= 0.02) & (F.col("nonprose_share") > 0.5)).select("rec_id")
+    """Records of some length that the mixture gives to components of lists, tables or junk, confirmed by
+    more than half of their characters lying outside running prose."""
+    return p3_kinds(spark, d).where((F.col("n_chars") >= naturalness.MIN_CHARS) & (F.col("kind") != "prose") & (F.col("nonprose_share") > 0.5)).select("rec_id")
 
 
 def p5_overlaps(spark: SparkSession, d: str) -> DataFrame:
