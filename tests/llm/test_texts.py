@@ -74,12 +74,27 @@ def test_passages_are_cut_out(spark):
     records, items, _ = leak_data()
     rows = spark.createDataFrame([(*r, "train", 1) for r in records], RECORDS)
     found = leakage.leaked_passages(rows, spark.createDataFrame([(*i, 1) for i in items], ITEMS))
-    left = {r.rec_id: (r.text, r.removed_share) for r in leakage.without_passages(rows, found, 0.9).collect()}
+    left = {r.rec_id: (r.text, r.removed_share) for r in leakage.without_passages(rows, found, max_share=0.9).collect()}
     assert left[1][0] == "before  after" and left[2] == (records[1][1], 0.0)
     assert left[6] == (None, 0.0) and left[7] == ("", 0.0) and 4 in left
     assert 3 not in left  # nearly all of it leaked
 
 
+def test_passages_in_ids_are_cut_out_too(spark):
+    records, items, pieces = leak_data()
+    pieces = pieces[:2] + [(2, " end é🙂 of it all, and then some more words that nobody asked for, one by one, to the very end of this long text"), pieces[3]]
+    rows = spark.createDataFrame([(*r, "train", 1) for r in records + records[4:6]], RECORDS)
+    its, voc = spark.createDataFrame([(*i, 1) for i in items], ITEMS), spark.createDataFrame(pieces, "token_id int, piece string")
+    found = leakage.leaked_passages(rows, its, voc)
+    left = {r.rec_id: (r.text, r.removed_share) for r in leakage.without_passages(rows, found, voc).collect()}
+    assert left[5][0] == pieces[2][1] and left[5][1] > 0.2 and left[6] == (None, 0.0) and left[7] == ("", 0.0)
+    assert 3 not in left and left[2] == (records[1][1], 0.0)
+    again = spark.createDataFrame([(k, t) for k, (t, _) in left.items()], "rec_id long, text string")
+    assert leakage.leaked_passages(again, its).count() == 0
+    assert leakage.without_passages(rows.limit(0), found, voc).count() == 0
+    assert leakage.without_passages(rows, found.limit(0), voc).where("removed_share > 0").count() == 0
+
+
 # ---------------------------------------------------------------- repetition
 def plain_repetition(text):
     w = words(text)

@@ -11,11 +11,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.content import fill_content, joined_content, vocabulary
 from ..functions.spans import Pieces, Texts, shingles, slices, texts_of, words
-from ..session import spread
+from ..session import spread, stage_table
 
 GRAM = 13
 #: Bytes of item text in one block; the hash set of a block takes about six times that.
@@ -151,24 +152,60 @@ def leaked_passages(
     return found.dropDuplicates(["rec_id", "item_id"])
 
 
-def without_passages(records: DataFrame, passages: DataFrame, max_share: float = 0.5) -> DataFrame:
-    """(rec_id, text, removed_share) of the records, leaked spans cut out.
-
-    A record of which more than `max_share` of the characters would go is dropped. Records
-    without a leak keep their text; null texts stay null with share 0. `passages` is the result
-    of `leaked_passages` over the same texts.
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rec_id, text, removed_share): each text without its spans, which are sorted by start."""
+    for batch in batches:
+        column = batch.column("text")
+        for i, j, part in slices(texts_of(column)):
+            n = j - i
+            row = np.repeat(np.arange(n), np.diff(part.offs))
+            lead = (part.buf & 0xC0) != 0x80
+            place = np.cumsum(lead) - 1  # code point of each byte, counted over the slice
+            first = np.concatenate([[0], np.cumsum(lead)])[part.offs]
+            spans = batch.column("spans").slice(i, n)
+            owner = np.repeat(np.arange(n), np.asarray(spans.value_lengths().fill_null(0), np.int64))
+            start, stop = (np.asarray(x, np.int64) for x in spans.flatten().flatten())
+            edge = np.zeros(int(first[-1]) + 1, np.int64)
+            np.add.at(edge, first[owner] + start, 1)
+            np.add.at(edge, first[owner] + stop, -1)
+            gone = np.cumsum(edge)[:-1] > 0
+            keep = ~gone[place] if len(place) else np.zeros(0, bool)
+            ends = np.concatenate([[0], np.cumsum(np.bincount(row[keep], minlength=n))]).astype(np.int64)
+            text = pa.Array.from_buffers(pa.large_string(), n, [None, pa.py_buffer(ends), pa.py_buffer(part.buf[keep])]).cast(pa.string())
+            size = np.diff(first)
+            left = np.bincount(row[keep & lead], minlength=n) if len(row) else np.zeros(n)
+            share = np.where(size > 0, 1 - left / np.maximum(size, 1), 0.0)
+            text = pc.if_else(pa.array(part.valid), text, pa.scalar(None, pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column("rec_id").slice(i, n), text, pa.array(share)], ["rec_id", "text", "removed_share"])
+
+
+def without_passages(records: DataFrame, passages: DataFrame, vocab: DataFrame | None = None, max_share: float = 0.5) -> DataFrame:
+    """(rec_id, text, removed_share) of the records' content, leaked spans cut out.
+
+    The content is the same as in `leaked_passages`: the text or, with `vocab`, what the ids stand for where
+    the text is null; spans found there are cut there. A record of which more than `max_share` of
+    the characters would go is dropped. Records without a leak keep their content; without
+    content the text stays null with share 0. Rows of one rec_id count once, null ids are left out.
+    `passages` is the result of `leaked_passages` over the same records.
     """
     spans = passages.groupBy("rec_id").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
-    rows = records.select("rec_id", "text").where("rec_id is not null").dropDuplicates(["rec_id"]).join(spans, "rec_id", "left")
-    # fold the sorted spans: text kept so far, and where the next kept stretch begins
-    kept = F.expr(
-        "aggregate(coalesce(spans, array()), named_struct('keep', cast('' as string), 'at', 0), "
-        "(s, x) -> named_struct('keep', if(x.start > s.at, concat(s.keep, substring(text, s.at + 1, x.start - s.at)), s.keep), 'at', greatest(s.at, x.stop)), "
-        "s -> concat(s.keep, substring(text, s.at + 1, length(text))))"
-    )
-    share = F.when(F.length("text") > 0, 1 - F.length("kept") / F.length("text")).otherwise(F.lit(0.0))
-    return (
-        rows.withColumn("kept", F.when(F.col("spans").isNull(), F.col("text")).otherwise(kept))
-        .select("rec_id", F.col("kept").alias("text"), F.coalesce(share, F.lit(0.0)).alias("removed_share"))
-        .where(F.col("removed_share") <= max_share)
-    )
+    spans = stage_table(spans, "spans")  # so that its size is known before it is joined
+    rows = _content(records.select("rec_id", "text", *(["ids"] if vocab is not None else [])), vocab)
+    rows = rows.where("rec_id is not null").dropDuplicates(["rec_id"]).join(spans, "rec_id", "left")
+    cut = rows.select(F.col("rec_id").cast("long").alias("rec_id"), "text", "spans").mapInArrow(_cut, "rec_id long, text string, removed_share double")
+    return cut.where(F.col("removed_share") <= max_share)
+
+
+def _content(records: DataFrame, vocab: DataFrame | None) -> DataFrame:
+    """(rec_id, text) with the text filled from the ids."""
+    if vocab is None:
+        return records
+    pieces = vocabulary(vocab)
+    if pieces is None:
+        return joined_content(records, vocab, "rec_id").select("rec_id", "text")
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("rec_id"), fill_content(batch.column("text"), batch.column("ids"), pieces.value)], ["rec_id", "text"])
+
+    return spread(records.select(F.col("rec_id").cast("long").alias("rec_id"), "text", "ids")).mapInArrow(fill, "rec_id long, text string")

@@ -25,6 +25,12 @@ def p4_items(spark: SparkSession, d: str) -> DataFrame:
     return p4_passages(spark, d).groupBy("item_id").agg(F.count("*").alias("n_records"), F.sum("n_windows").alias("n_windows"))
 
 
+def p4_clean(spark: SparkSession, d: str) -> DataFrame:
+    """Training records without the leaked passages; those of which more than half would go are left out."""
+    records = read_table(spark, d, "general_purpose_prepare").where("split = 'train'")
+    return leakage.without_passages(records, p4_passages(spark, d), read_table(spark, d, "token_vocab")).withColumn("removed_share", F.round("removed_share", 9))
+
+
 def p1_classes(spark: SparkSession, d: str) -> DataFrame:
     return neardup.near_duplicate_classes(read_table(spark, d, "general_purpose_prepare"))
 
@@ -106,4 +112,4 @@ def p8_coverage(spark: SparkSession, d: str) -> DataFrame:
     return sharedspans.shared_coverage(read_table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_flagged, p2_cutoffs, p3_found, p3_stats, p3_kinds, p4_found, p4_items, p5_found, p5_overlaps, p5_report, p6_ids, p7_containers, p7_report, p8_found, p8_coverage)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_shares, p2_flagged, p2_cutoffs, p3_found, p3_stats, p3_kinds, p4_found, p4_items, p4_clean, p5_found, p5_overlaps, p5_report, p6_ids, p7_containers, p7_report, p8_found, p8_coverage)}
