@@ -2,8 +2,12 @@ import itertools
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from tokenloom.functions import spans
 from tokenloom.llm import neardup
 
 SCHEMA = "rec_id long, text string, split string, class_id string, sig int"
@@ -52,8 +56,8 @@ def frame(spark, rows):
     return spark.createDataFrame([(r, t, "train", "x", 1) for r, t in rows], SCHEMA)
 
 
-def pairs(spark, rows):
-    return {tuple(r) for r in neardup.pairs_of_classes(neardup.near_duplicate_classes(frame(spark, rows))).collect()}
+def pairs(spark, rows, **how):
+    return {tuple(r) for r in neardup.pairs_of_classes(neardup.near_duplicate_classes(frame(spark, rows), **how)).collect()}
 
 
 def test_groups_match_brute_force(spark):
@@ -62,11 +66,60 @@ def test_groups_match_brute_force(spark):
     assert pairs(spark, rows + rows[:20]) == want and len(want) > 50
     classes = neardup.near_duplicate_classes(frame(spark, rows)).collect()
     assert sorted(r.rec_id for r in classes) == [r for r, t in rows if t is not None]
-
-
-def test_large_groups_keep_every_link(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "SMALL", 2)
-    assert pairs(spark, corpus()) == brute(corpus())
+    smallest = {}
+    for a, b in sorted(want, reverse=True):
+        smallest[b] = a
+    assert {r.rec_id: r.class_id for r in classes} == {r: smallest.get(r, r) for r, t in rows if t is not None}
+
+
+@pytest.mark.parametrize("small", [1, 2, 4])
+def test_large_groups_keep_every_link(spark, small):
+    assert pairs(spark, corpus(), small=small) == brute(corpus())
+
+
+def test_rare_runs_find_every_alike_pair(spark):
+    rnd = random.Random(5)
+    frame_ = " ".join(f"frame{k}" for k in range(14)).split()
+    rows = corpus()[:60] + [(1000 + i, " ".join(frame_ + rnd.choices(WORDS, k=rnd.choice([8, 16, 30])))) for i in range(60)]
+    texts = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "rec_id long, text string")
+    members = texts.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([b.column("rec_id"), b.column("text"), pa.array(neardup._signatures(spans.texts_of(b.column("text")))[0].view(np.int64))], ["rec_id", "text", "sig"]) for b in batches), "rec_id long, text string, sig long").cache()
+    sets = members.select("sig", "text").mapInArrow(neardup._emit_sets, "sig long, members binary")
+    apart = members.select("sig", F.col("rec_id").alias("component"), F.lit(True).alias("outside")).dropDuplicates(["sig"])
+    got = {tuple(r) for r in neardup._pairs_by_rare_runs(apart, sets, 0.5).collect()}
+    sig = {r.rec_id: r.sig for r in members.collect()}
+    alike = set()
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        x, y = runs(rows[a][1])[0], runs(rows[b][1])[0]
+        if 2 * len(x & y) >= len(x | y) and sig[a] != sig[b]:
+            alike.add((min(sig[a], sig[b]), max(sig[a], sig[b])))
+    assert alike <= got and len(alike) > 40
+    assert len(got) < 4 * len(alike) + 60  # what stands in most texts makes no pairs
+
+
+def classes_of(spark, rows):
+    return {r.rec_id: r.class_id for r in neardup.near_duplicate_classes(spark.createDataFrame(rows, "rec_id long, text string")).collect()}
+
+
+def test_one_variant_of_ten_thousand_texts(spark):
+    rnd = random.Random(6)
+    base = rnd.choices(WORDS, k=120)
+    rows = []
+    for i in range(10_000):
+        own = list(base)
+        for k in rnd.sample(range(120), 3):
+            own[k] = f"x{i}y{k}"
+        rows.append((i, " ".join(own)))
+    assert set(classes_of(spark, rows).values()) == {0}
+
+
+def test_ten_thousand_texts_with_one_boilerplate(spark):
+    rnd = random.Random(7)
+    frame_ = [f"frame{k}" for k in range(40)]
+    rows = [(i, " ".join(frame_ + [f"t{i}w{k}" for k in range(60)])) for i in range(10_000)]
+    twins = rnd.sample(range(10_000), 50)
+    rows += [(20_000 + i, rows[i][1] + " with a few more words") for i in twins]
+    got = classes_of(spark, rows)
+    assert all(got[i] == i for i in range(10_000)) and all(got[20_000 + i] == i for i in twins)
 
 
 def test_many_copies_and_long_texts(spark):

@@ -28,6 +28,10 @@ u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 c(a, b) AS (SELECT a, b FROM u UNION SELECT c.a, u.b FROM c JOIN u ON c.b = u.a)
 SELECT a AS rec_a, b AS rec_b FROM c WHERE a < b"""
 
+_CLASSES = _P1.removesuffix("\nSELECT a AS rec_a, b AS rec_b FROM c WHERE a < b") + f""",
+m AS (SELECT a, min(b) AS b FROM c GROUP BY a)
+SELECT d.id AS rec_id, least(d.id, coalesce(m.b, d.id)) AS class_id, CAST(len(regexp_extract_all({_LOW.replace("text", "d.text")}, '[a-z0-9]+')) AS INTEGER) AS n_words FROM d LEFT JOIN m ON m.a = d.id WHERE d.text IS NOT NULL"""
+
 _P2 = f"""WITH d AS (SELECT rec_id AS id, any_value(text) AS text FROM general_purpose_prepare WHERE rec_id IS NOT NULL AND text IS NOT NULL GROUP BY rec_id),
 w AS (SELECT id, {_WORDS} AS l FROM d),
 g AS (SELECT id, i, l[i:i + 4] AS r FROM (SELECT id, l, unnest(range(1, len(l) - 3)) AS i FROM w WHERE len(l) >= 20)),
@@ -88,6 +92,7 @@ f AS (SELECT doc_id, CAST(min(i) AS BIGINT) AS span_start, CAST(max(i) + 150 AS
 SQL: dict[str, str] = {
     "p1_found": _P1,
     "p2_found": _P2,
+    "p1_classes": _CLASSES,
     "p2_shares": _SHARES,
     "p3_stats": _STATS,
     "p4_items": f"WITH {_LEAKS} SELECT item_id, count(DISTINCT rec_id) AS n_records, count(*) AS n_windows FROM q GROUP BY item_id",
