@@ -48,7 +48,7 @@ EXACT = 8
 SMALL = 32
 #: Rounds that compare the texts of large groups with their largest component go on while each leaves
 #: less than this share of those outside.
-PROGRESS = 0.8
+PROGRESS = 0.5
 #: Most record ids that are sent to all tasks, so that texts that are no candidates aren't shuffled.
 SENT_IDS = 4_000_000
 #: Variants that a task packs before it hands them on.
@@ -372,7 +372,20 @@ def _pairs_by_rare_runs(members: DataFrame, sets: DataFrame, threshold: float) -
     return stage_table(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "rare")
 
 
-def _join_large(large: DataFrame, links: DataFrame, groups: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+def _with_links(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) after more links (a, b) between nodes, which are few beside the groups."""
+    of = lambda end: groups.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
+    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a != b")
+    between = stage_table(between.distinct(), "between")
+    if not between.take(1):
+        return groups
+    joined = stage_table(connected_components(between), "joined")
+    moved = groups.join(joined.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
+    new = joined.join(groups.select("node"), "node", "left_anti").select("node", "component")
+    return stage_table(moved.select("node", F.coalesce("to", "component").alias("component")).unionByName(new), "groups")
+
+
+def _join_large(large: DataFrame, groups: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Components after the members of large groups (variant, sig) have been joined.
 
     Each round compares the members outside a group's largest component with one member of it,
@@ -394,11 +407,10 @@ def _join_large(large: DataFrame, links: DataFrame, groups: DataFrame, sets: Dat
         if before is not None and left > PROGRESS * before:
             members = tagged.groupBy("sig").agg(F.first("component").alias("component"), F.max("outside").alias("outside"))
             more = _pairs_by_rare_runs(stage_table(members, "members"), sets, threshold)
-            return connected_components(links.unionByName(_verified(more, sets, threshold)))
+            return _with_links(groups, _verified(more, sets, threshold))
         centre = tagged.where("not outside").groupBy("variant").agg(F.max_by("sig", F.xxhash64("sig", "variant", F.lit(turn))).alias("q"))
         more = tagged.where("outside").join(centre, "variant").select(F.least("sig", "q").alias("a"), F.greatest("sig", "q").alias("b"))
-        links = links.unionByName(_verified(stage_table(more.distinct(), "more"), sets, threshold))
-        groups = connected_components(links)
+        groups = _with_links(groups, _verified(stage_table(more.distinct(), "more"), sets, threshold))
         before, turn = left, turn + 1
 
 
@@ -432,8 +444,8 @@ def near_duplicate_classes(records: DataFrame, threshold: float = 0.5, small: in
     if asked.count() <= SENT_IDS:
         asked = F.broadcast(asked)
     sets = stage_table(rows.join(asked, "rec_id").select("sig", "text").mapInArrow(_emit_sets, "sig long, members binary").dropDuplicates(["sig"]), "sets")
-    links = _verified(pairs, sets, threshold)
-    groups = _join_large(large, links, connected_components(links), sets, threshold)
+    groups = stage_table(connected_components(_verified(pairs, sets, threshold)), "groups")
+    groups = _join_large(large, groups, sets, threshold)
     classes = members.join(groups.withColumnRenamed("node", "sig"), "sig", "left")
     own = F.when(F.col("n_words") >= MIN_WORDS, F.coalesce("component", "sig"))
     classes = stage_table(classes.select("rec_id", own.alias("class"), "n_words"), "classes")
