@@ -13,12 +13,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..session import spread
 
 END_OF_TEXT = 50256
+#: Where vocabulary files are looked for unless a path is given.
 VOCABULARIES = os.environ.get("TOKENLOOM_VOCABULARIES", "/opt/tokenizers")
+# fixed values: the word pattern of the byte-level vocabularies
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Encodings by name: rank file and how words are cut. `register_encoding` adds more.
-_ENCODINGS: dict[str, tuple[str, str]] = {
-    # fixed values: the word pattern of the byte-level vocabularies
-    "byte_bpe_50k": ("byte_bpe_50k.tiktoken", r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""),
-}
+_ENCODINGS: dict[str, tuple[str, str]] = {"byte_bpe_50k": ("byte_bpe_50k.tiktoken", PATTERN)}
 _LOADED: dict[str, object] = {}
 
 
