@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tokenloom.functions import spans
+from tokenloom.llm import spans
 from tokenloom.llm import neardup
 
 SCHEMA = "rec_id long, text string, split string, class_id string, sig int"

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from tokenloom.functions.spans import texts_of, words
+from tokenloom.llm.spans import texts_of, words
 from tokenloom.llm import crosssplit, sharedspans
 
 LOW = {i: i + 32 for i in range(65, 91)}

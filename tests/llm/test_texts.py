@@ -6,7 +6,7 @@ import pandas as pd
 import pyarrow as pa
 import pytest
 
-from tokenloom.functions.spans import texts_of
+from tokenloom.llm.spans import texts_of
 from tokenloom.llm import leakage, naturalness, repetition
 from tokenloom.session import stage_table
 

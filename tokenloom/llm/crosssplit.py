@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.content import fill_content, joined_content, vocabulary
-from ..functions.spans import U64, Pieces, Texts, bounds, distinct_per_row, mix64, shingles, slices, texts_of, words
+from .content import fill_content, joined_content, vocabulary
+from .spans import U64, Pieces, Texts, bounds, distinct_per_row, mix64, shingles, slices, texts_of, words
 from ..session import spread, stage_table
 
 RUN = 3

@@ -14,8 +14,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.content import fill_content, joined_content, vocabulary
-from ..functions.spans import Pieces, Texts, shingles, slices, texts_of, words
+from .content import fill_content, joined_content, vocabulary
+from .spans import Pieces, Texts, shingles, slices, texts_of, words
 from ..session import spread, stage_table
 
 GRAM = 13

@@ -13,7 +13,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.spans import Pieces, Texts, bounds, lines, shingles, slices, texts_of, words
+from .spans import Pieces, Texts, bounds, lines, shingles, slices, texts_of, words
 from ..session import spread, stage_table
 from .repetition import RUN
 

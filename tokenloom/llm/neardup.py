@@ -34,8 +34,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.spans import U64, Texts, bounds, distinct_per_row, mix64, shingles, slices, texts_of, words
-from ..operators.graph import connected_components
+from .spans import U64, Texts, bounds, distinct_per_row, mix64, shingles, slices, texts_of, words
+from .graph import connected_components
 from ..session import shuffle_width, spread, stage_table
 
 RUN = 3

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.spans import U64, mix64
+from .spans import U64, mix64
 from ..session import stage_table
 
 CAPACITY = 1024

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.spans import U64, Texts, _powers, bounds, mix64, slices, texts_of
+from .spans import U64, Texts, _powers, bounds, mix64, slices, texts_of
 from ..session import scan_tasks, shuffle_width, spread, stage_table
 
 SPAN = 150

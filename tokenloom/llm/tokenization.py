@@ -21,13 +21,10 @@ import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.spans import slices, texts_of
+from ..functions.bpe import PATTERN, VOCABULARIES
+from .spans import slices, texts_of
 from ..session import spread
 
-#: Where vocabulary files are looked for unless a path is given.
-VOCABULARIES = os.environ.get("TOKENLOOM_VOCABULARIES", "/opt/tokenizers")
-# fixed values: the word pattern of the byte-level vocabularies
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words whose tokens a worker keeps; beyond it starts anew.
 CACHE_WORDS = 400_000
 
