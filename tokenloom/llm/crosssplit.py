@@ -33,7 +33,7 @@ RUN = 3
 MIN_WORDS = 20
 #: Words of evaluation records in one shard; its automaton takes some 250 MB in each worker.
 SHARD_WORDS = 1_500_000
-#: Words of evaluation records whose shards are sent to the workers at once, some 60 bytes each; the
+#: Words of evaluation records whose shards are sent to the workers at once, some 25 bytes each; the
 #: training records are read once for each such wave.
 WAVE_WORDS = 6_000_000
 #: Words of training records that a task holds while its shards' automata go over them.
