@@ -1,5 +1,7 @@
+import math
 import random
 import re
+import time
 
 import numpy as np
 import pandas as pd
@@ -7,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 from tokenloom.llm.spans import texts_of
-from tokenloom.llm import leakage, naturalness, repetition
+from tokenloom.llm import leakage, naturalness, queries, repetition
 from tokenloom.session import stage_table
 
 LOW = {i: i + 32 for i in range(65, 91)}
@@ -172,6 +174,40 @@ def test_labels_decide_what_is_flagged(spark):
     assert found["prose in one source"] == {i for i in range(0, 3000, 10) if i % 3}
 
 
+def test_every_label_counts(spark):
+    """25,000 labelled records, of which a small source has just enough and a rarer one too few."""
+    n = 25_000
+    source = [f"s{i % 3}" if i % 50 else None if i % 100 else "rare" if i % 1000 else "few" for i in range(n)]
+    rng = np.random.default_rng(3)
+    rows = pd.DataFrame({"rec_id": range(n), "source": source, "n_words": 100} | {m: rng.beta(1, 12, n).round(3) for m in repetition.MEASURES})
+    rows.loc[rows.index % 100 < 15, "rep_share"] = 0.45
+    rows.loc[rows.index % 7 == 0, "dup_line_share"] = None
+    label = [(i, "junk" if i % 10 == 3 else "prose") for i in range(n)] + [(5, "list"), (6, None), (n + 1, "prose"), (None, "prose")]
+    stats = spark.createDataFrame(rows.astype(object).where(rows.notna(), None), "rec_id long, source string, n_words int, " + ", ".join(f"{m} double" for m in repetition.MEASURES))
+    got = repetition.choose_cutoffs(stats, spark.createDataFrame(label, "rec_id long, label string"), least=225)
+    good = (rows["rec_id"] % 10 != 3) & (rows["rec_id"] != 5)
+    assert got == repetition.risk_controlled_cutoffs(rows.rename(columns={"source": "stratum"}).assign(good=good), least=225)
+    sizes = {c.stratum: c.n_good for c in got}
+    assert sum(sizes.values()) == good.sum() and sizes["rare"] == 225 and sizes["(none)"] == 250 and sizes[repetition.POOLED] == 25
+
+
+def test_found_follows_the_definition_whatever_the_labels(spark, tmp_path):
+    rows, labels = repeated_rows(3000, lambda i: True)
+    spark.createDataFrame(rows, "rec_id long, text string, source string").write.parquet(str(tmp_path / "general_purpose_prepare.parquet"))
+    spark.createDataFrame(labels, "rec_id long, label string").write.parquet(str(tmp_path / "quality_labels.parquet"))
+    assert {r.rec_id for r in queries.p2_found(spark, str(tmp_path)).collect()} == set(range(0, 3000, 10))
+    assert queries.p2_flagged(spark, str(tmp_path)).where("flag_rep_share").count() == 0  # people call them prose
+
+
+def test_tail_of_many_trials():
+    for k, n, p in ((0, 30, 0.2), (29, 30, 0.2), (700, 6000, 0.1), (5990, 6000, 0.9), (350, 2000, 0.9)):
+        whole = math.fsum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)) for i in range(k + 1))
+        assert repetition.binomial_tail(k, n, p) == pytest.approx(whole, rel=1e-6, abs=1e-300)
+    began = time.perf_counter()
+    assert repetition.binomial_tail(9_000_000, 10**7, 0.1) == pytest.approx(1, abs=1e-6) and repetition.binomial_tail(10**6, 10**7, 0.1) == pytest.approx(0.5, abs=1e-3)
+    assert time.perf_counter() - began < 2
+
+
 def test_short_and_null_texts_are_not_flagged(spark):
     rows = [(1, "a b c d e " * 3, "s"), (2, None, "s"), (3, "", None), (4, "a b c d e " * 4, None)]
     stats = repetition.repetition_stats(spark.createDataFrame(rows, "rec_id long, text string, source string"))

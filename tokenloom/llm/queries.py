@@ -50,8 +50,8 @@ def p2_flagged(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    """Records whose share of repeated words reaches the cutoff chosen for their source."""
-    return p2_flagged(spark, d).where("flag_rep_share").select("rec_id")
+    """All cases of the definition; no cutoff chosen from labels adds or removes one."""
+    return repetition.repetition_stats(read_table(spark, d, "general_purpose_prepare")).where(repetition.is_case()).select("rec_id")
 
 
 def p2_shares(spark: SparkSession, d: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """Repetition inside a record, and cutoffs for it whose false rejections are bounded.
 
 The share of repeated words and the shares of repeated sentences and lines are computed for
-every record. Which share is too large is decided per stratum by risk control: on a labelled
-holdout, cutoffs are tried from the largest to smaller ones as long as the exact binomial
+every record. A case is what the definition says (`is_case`), whatever the labels. Which share
+is flagged as too large is decided per stratum by risk control: on all labelled records, counted where
+they lie, cutoffs are tried from the largest to smaller ones as long as the exact binomial
 test rejects "more than `ALPHA` of the records labelled acceptable are turned away"; the level is
 split over all strata and measures tested (Bonferroni), and the fixed order of the cutoffs needs no
 further correction. No cutoff goes below `CASE_SHARE`, from where on repetition counts at all. A
@@ -12,7 +13,7 @@ stratum in which labels show that so low a cutoff turns away too many keeps a hi
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -36,9 +37,9 @@ ALPHA, DELTA = 0.10, 0.05
 #: Fewest good records of a stratum. With so many a cutoff that turns away 4 percent of them is
 #: certified with probability 0.99; smaller strata are pooled.
 MIN_GOOD = 400
-#: Most labelled rows that are collected to choose cutoffs.
-HOLDOUT_ROWS = 20_000
 POOLED = "(pooled)"
+#: Stratum of records without one.
+NONE = "(none)"
 
 
 def _again(row: np.ndarray, value: np.ndarray) -> np.ndarray:
@@ -108,12 +109,20 @@ def is_case() -> Column:
 
 
 def binomial_tail(k: int, n: int, p: float) -> float:
-    """P(X <= k) for X binomial(n, p), summed in logs."""
+    """P(X <= k) for X binomial(n, p), summed in logs.
+
+    Logs of terms fall by at least 2 d^2 / n at a distance d from the largest; beyond 6 sqrt(n) all
+    terms together are less than a double resolves.
+    """
     if n == 0:
         return 1.0
-    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k + 1)]
-    top = max(logs)
-    return min(1.0, math.exp(top) * math.fsum(math.exp(x - top) for x in logs))
+    mode, reach = min(k, int((n + 1) * p)), 6 * math.isqrt(n) + 6
+    first, last = max(mode - reach, 0), min(mode + reach, k)
+    i = np.arange(first, last)
+    start = math.lgamma(n + 1) - math.lgamma(first + 1) - math.lgamma(n - first + 1) + first * math.log(p) + (n - first) * math.log1p(-p)
+    logs = start + np.concatenate([[0.0], np.cumsum(np.log((n - i) / (i + 1)) + math.log(p) - math.log1p(-p))])
+    top = float(logs.max())
+    return min(1.0, math.exp(top) * math.fsum(np.exp(logs - top)))
 
 
 def upper_bound(k: int, n: int, delta: float) -> float:
@@ -157,34 +166,56 @@ def risk_controlled_cutoffs(
     "(none)"; null measures never reach a cutoff.
     """
     good = holdout[holdout["good"].astype(bool)]
-    names = good["stratum"].fillna("(none)").astype(str)
+    names = good["stratum"].fillna(NONE).astype(str)
     names = names.where(names.map(names.value_counts()) >= least, POOLED)
-    tested = sorted(set(names) | {POOLED})
-    level = delta / (len(tested) * len(measures))
+    counts = {}
+    for stratum, rows in good.groupby(names):
+        counts[stratum] = len(rows), [[int((rows[m].to_numpy(float) >= cutoff).sum()) for cutoff in grid] for m in measures]
+    return _cutoffs_of_counts(counts, measures, grid, alpha, delta, least)
+
+
+def _cutoffs_of_counts(counts: Mapping[str, tuple[int, Sequence[Sequence[int]]]], measures: Sequence[str], grid: Sequence[float], alpha: float, delta: float, least: int) -> list[Cutoff]:
+    """Cutoffs from each stratum's good rows and how many of them reach each cutoff, by measure."""
+    counts = {POOLED: (0, [[0] * len(grid)] * len(measures)), **counts}
+    level = delta / (len(counts) * len(measures))
     out = []
-    for stratum in tested:
-        rows = good[names == stratum]
-        for measure in measures:
-            values = rows[measure].to_numpy(float)
-            best, certified = grid[0] if len(values) >= least else grid[-1], False
-            for cutoff in grid if len(values) >= least else ():
-                if binomial_tail(int((values >= cutoff).sum()), len(values), alpha) > level:
+    for stratum in sorted(counts):
+        n, reached = counts[stratum]
+        for measure, reach in zip(measures, reached):
+            best, certified = 0 if n >= least else len(grid) - 1, False
+            for i, k in enumerate(reach if n >= least else ()):
+                if binomial_tail(k, n, alpha) > level:
                     break
-                best, certified = cutoff, True
-            k = int((values >= best).sum())
-            out.append(Cutoff(stratum, measure, best, len(values), k, upper_bound(k, len(values), level), certified))
+                best, certified = i, True
+            k = reach[best]
+            out.append(Cutoff(stratum, measure, grid[best], n, k, upper_bound(k, n, level), certified))
     return out
 
 
-def choose_cutoffs(stats: DataFrame, labels: DataFrame, bound: int = HOLDOUT_ROWS, good: Sequence[str] = GOOD, **how: float) -> list[Cutoff]:
-    """Cutoffs from the inspected records of `labels` (rec_id, label).
+def choose_cutoffs(
+    stats: DataFrame,
+    labels: DataFrame,
+    good: Sequence[str] = GOOD,
+    measures: Sequence[str] = MEASURES,
+    grid: Sequence[float] = GRID,
+    alpha: float = ALPHA,
+    delta: float = DELTA,
+    least: int = MIN_GOOD,
+) -> list[Cutoff]:
+    """`risk_controlled_cutoffs` from all inspected records of `labels` (rec_id, label).
 
-    A record is good if all its labels are among `good`; null labels say nothing. Of more than
-    `bound` labelled records those with the smallest hashes of their ids are taken.
+    A record is good if all its labels are among `good`; null labels say nothing. Good records are
+    counted by stratum and cutoff where they lie; one row for each stratum of at least `least` of them
+    and one for the pool reach the driver.
     """
-    chosen = labels.where("label is not null and rec_id is not null").groupBy("rec_id").agg(F.every(F.col("label").isin(*good)).alias("good")).orderBy(F.xxhash64("rec_id"), "rec_id").limit(bound)
-    rows = stats.where("n_words is not null").join(F.broadcast(chosen), "rec_id").select(F.col("source").alias("stratum"), "good", *MEASURES)
-    return risk_controlled_cutoffs(rows.toPandas(), **how)
+    chosen = labels.where("label is not null and rec_id is not null").groupBy("rec_id").agg(F.every(F.col("label").isin(*good)).alias("good")).where("good")
+    rows = stats.where("n_words is not null").join(chosen, "rec_id", "left_semi").withColumn("stratum", F.coalesce("source", F.lit(NONE)))
+    names = [[f"{m}_{i}" for i in range(len(grid))] for m in measures]
+    each = rows.groupBy("stratum").agg(F.count("*").alias("n"), *[F.count_if(F.col(m) >= cutoff).alias(k) for m, ks in zip(measures, names) for cutoff, k in zip(grid, ks)])
+    pooled = F.when(F.col("n") >= least, F.col("stratum")).otherwise(POOLED).alias("stratum")
+    summed = each.groupBy(pooled).agg(F.sum("n").alias("n"), *[F.sum(k).alias(k) for ks in names for k in ks])
+    counts = {r["stratum"]: (r["n"], [[r[k] for k in ks] for ks in names]) for r in summed.collect()}
+    return _cutoffs_of_counts(counts, measures, grid, alpha, delta, least)
 
 
 def flag_repetition(stats: DataFrame, cutoffs: Sequence[Cutoff]) -> DataFrame:
@@ -196,7 +227,7 @@ def flag_repetition(stats: DataFrame, cutoffs: Sequence[Cutoff]) -> DataFrame:
         by.setdefault(c.stratum, {})[c.measure] = c.cutoff
     rest = by[POOLED]
     table = spark.createDataFrame([(s, *(v[m] for m in MEASURES)) for s, v in sorted(by.items())], "stratum string, " + ", ".join(f"cut_{m} double" for m in MEASURES))
-    rows = stats.withColumn("stratum", F.coalesce("source", F.lit("(none)"))).join(F.broadcast(table), "stratum", "left")
+    rows = stats.withColumn("stratum", F.coalesce("source", F.lit(NONE))).join(F.broadcast(table), "stratum", "left")
     for m in MEASURES:
         rows = rows.withColumn(f"flag_{m}", (F.col("n_words") >= MIN_WORDS) & (F.col(m) >= F.coalesce(f"cut_{m}", F.lit(rest[m]))))
     flags = [f"flag_{m}" for m in MEASURES]
